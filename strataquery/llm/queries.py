@@ -20,10 +20,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
     changes = [(size * 3 / 4, 12, ""), (size / 2, 0, " [note] "), (size / 4, 7, "###")]
     edits = F.array(*[F.struct(F.floor(at).cast("long").alias("start"), F.lit(n).cast("long").alias("removed"), F.lit(new).alias("inserted")) for at, n, new in changes])
-    counted = token_counts.apply_edits(token_counts.with_trees(docs).withColumn("edits", edits), "edits")
+    counted = token_counts.apply_edits(docs.withColumn("edits", edits), "edits")
     return counted.select(
         "doc_id",
-        token_counts.token_total(F.col("tree")).alias("n_tokens"),
+        F.col("edited.tokens_before").alias("n_tokens"),
         token_counts.token_total(F.col("edited.tree")).alias("n_tokens_edited"),
         F.sha2(F.col("edited.text").cast("binary"), 256).alias("edited_sha256"),
         F.length("edited.text").cast("long").alias("edited_chars"),

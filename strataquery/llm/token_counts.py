@@ -153,24 +153,29 @@ def trees(text: Column, path: str | None = None) -> Column:
 
 
 def edited(text: Column, tree: Column, edits: Column, path: str | None = None) -> Column:
-    """Struct of the edited text, its tree and the characters encoded for the edits."""
+    """Struct of the edited text, its tree, the tokens before, and the characters encoded for the edits.
+
+    Where the tree is null it is built first.
+    """
     path = path or default_vocabulary()
 
-    @arrow_udf(f"struct<text: string, tree: {TREE}, encoded_chars: long>")
+    @arrow_udf(f"struct<text: string, tree: {TREE}, tokens_before: long, encoded_chars: long>")
     def apply(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         own = coder(path)
         for texts, packed, changes in parts:
-            out_text, out_tree, out_chars = [], [], []
+            out: list[list] = [[], [], [], []]
             for now, state, todo in zip(texts.to_pylist(), packed.to_pylist(), changes.to_pylist()):
-                now, state, cost = now or "", SegmentTree.unpacked(state), 0
+                now, cost = now or "", 0
+                state = build(now, own) if state is None else SegmentTree.unpacked(state)
+                before = state.total
                 for e in todo or []:
                     if e is not None:
                         now, state, chars = edit(now, state, e["start"] or 0, e["removed"] or 0, e["inserted"] or "", own)
                         cost += chars
-                out_text.append(now)
-                out_tree.append(state.packed())
-                out_chars.append(cost)
-            yield pa.StructArray.from_arrays([pa.array(out_text, pa.string()), pa.array(out_tree, pa.list_(pa.int64())), pa.array(out_chars, pa.int64())], names=["text", "tree", "encoded_chars"])
+                for column, value in zip(out, (now, state.packed(), before, cost)):
+                    column.append(value)
+            kinds = (pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int64())
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["text", "tree", "tokens_before", "encoded_chars"])
 
     return apply(text, tree, edits)
 
@@ -186,6 +191,7 @@ def with_trees(df: DataFrame, *, text: str = "text", into: str = "tree", path: s
     return df.withColumn(into, trees(col(text), path))
 
 
-def apply_edits(df: DataFrame, edits: str, *, text: str = "text", tree: str = "tree", into: str = "edited", path: str | None = None) -> DataFrame:
-    """``df`` with the struct ``into``: text, tree and encoded_chars after the column ``edits``."""
-    return df.withColumn(into, edited(col(text), col(tree), col(edits).cast(EDITS), path))
+def apply_edits(df: DataFrame, edits: str, *, text: str = "text", tree: str | None = None, into: str = "edited", path: str | None = None) -> DataFrame:
+    """``df`` with the struct ``into`` of ``edited`` after the column ``edits``; without a tree column the trees are built first."""
+    state = F.lit(None).cast(TREE) if tree is None else col(tree)
+    return df.withColumn(into, edited(col(text), state, col(edits).cast(EDITS), path))
