@@ -87,21 +87,38 @@ def normal_line(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, SPACE, " ")))
 
 
+def distinct_lines(text: Column) -> Column:
+    """Structs (line, words): hash of each distinct normalised line and the words in all its places.
+
+    The hashes are sorted, and the end of each run of equal ones tells how often they occur.
+    """
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), normal_line), lambda x: x != "")
+    spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" ")))
+    hashed = F.array_sort(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), (spaces(x) + 1).cast("long").alias("words"))))
+
+    def runs(s: Column) -> Column:
+        last = F.size(s) - 1
+        ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.get(s, i)["line"] != F.get(s, i + 1)["line"]))
+        first = lambda e, k: F.when(k == 0, F.lit(-1)).otherwise(F.get(e, k - 1))
+        counted = let(ends, lambda e: F.transform(e, lambda p, k: F.struct(F.get(s, p)["line"].alias("line"), (F.get(s, p)["words"] * (p - first(e, k))).alias("words"))))
+        return F.when(last >= 0, counted)
+
+    return let(hashed, runs)
+
+
 def _text_key(text: Column) -> list[Column]:
     body = F.coalesce(text, F.lit(""))
     return [F.xxhash64(body).alias("t1"), F.xxhash64(F.lit(7), body).alias("t2")]
 
 
 def common_lines(df: DataFrame, *, text: str = "text", host: str = "source", least: int = LEAST_DOCUMENTS, share: float = SHARE) -> DataFrame:
-    """host, t1, t2, line hash, words and times of each common line of each distinct text.
+    """host, t1, t2, line hash and words (over all its places) of each common line of each distinct text.
 
     Map-side aggregation folds copies of a text and documents with the same
     line before either shuffle.
     """
-    lines = F.transform(F.split(F.coalesce(col(text), F.lit("")), "\n"), normal_line)
-    rows = df.select(col(host).alias("host"), *_text_key(col(text)), F.posexplode(lines).alias("at", "line")).where(F.col("line") != "")
-    rows = rows.select("host", "t1", "t2", "at", F.xxhash64("line").alias("line"), (F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1).cast("long").alias("words"))
-    rows = cut_lineage(rows.groupBy("host", "t1", "t2", "line").agg(F.max("words").alias("words"), F.size(F.collect_set("at")).alias("times")))
+    rows = df.select(col(host).alias("host"), *_text_key(col(text)), F.explode(distinct_lines(col(text))).alias("of")).select("host", "t1", "t2", "of.line", "of.words")
+    rows = cut_lineage(rows.groupBy("host", "t1", "t2", "line").agg(F.max("words").alias("words")))
     hosts = rows.groupBy("host", "t1", "t2").agg(F.count(F.lit(1)).alias("x")).groupBy("host").agg(F.count(F.lit(1)).alias("documents"))
     common = rows.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
     common = common.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")))
@@ -112,7 +129,7 @@ def common_lines(df: DataFrame, *, text: str = "text", host: str = "source", lea
 def removed_words(df: DataFrame, **options) -> DataFrame:
     """host, t1, t2 and the words in common lines of each distinct text that has any."""
     hits = common_lines(df, **options)
-    return hits.groupBy("host", "t1", "t2").agg(F.sum(F.col("words") * F.col("times")).alias("removed"))
+    return hits.groupBy("host", "t1", "t2").agg(F.sum("words").alias("removed"))
 
 
 def judge(df: DataFrame, *, text: str = "text", host: str = "source", least: int = LEAST_DOCUMENTS, share: float = SHARE, left: float = LEFT) -> DataFrame:
