@@ -50,14 +50,6 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """``name`` or, if a column of ``df`` has it in any case, the first free variant."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name
-
-
 def col(name: str) -> Column:
     """A column by its exact name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -67,3 +59,19 @@ def arrow_udf(returns: str):
     """``functions.arrow_udf`` for functions of this package, which workers then can import."""
     ship(SparkSession.active())
     return F.arrow_udf(returns)
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """All columns of ``df`` as one struct ``row``, so that no name of theirs clashes with a helper's."""
+    return df.select(F.struct(*[col(c) for c in df.columns]).alias("row"))
+
+
+def field(name: str) -> Column:
+    """A column of a packed row."""
+    return F.col("row").getField(name)
+
+
+def unpacked(names: list[str], results: tuple[str, ...] = ()) -> list[Column]:
+    """Columns of a packed row by name; results take the place of columns that have their names."""
+    taken = {r.lower() for r in results}
+    return [field(c).alias(c) for c in names if c.lower() not in taken]

@@ -16,7 +16,7 @@ and 128 bits of the text; whole texts are never shuffled.
 Defined results: a null text counts as empty, has no words and fails the base
 rules. A null host is a host of its own. Equal rows get equal results. Lines
 without a word count for nothing. Very long texts are processed whole. Other
-columns pass through; result names must be free or the caller renames them.
+columns pass through; a result takes the place of a column of its name.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataquery.llm.common import SPACE, WORD, col, cut_lineage, let
+from strataquery.llm.common import SPACE, WORD, col, cut_lineage, field, let, packed, unpacked
 
 LEAST_DOCUMENTS = 20
 SHARE = 0.2
@@ -66,20 +66,21 @@ def _repeated(words: Column) -> Column:
     return F.coalesce(let(windows, lambda hashes: F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), covered(hashes)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"))
 
 
-def base_rules(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
-    body = F.coalesce(col(text), F.lit(""))
+def base_facts(text: Column) -> Column:
+    """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed of a whole text."""
+    body = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD))
-    facts = let(_words(body), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeated(w).alias("n_repeat_words")))
-    return (
-        df.withColumn("_facts", facts)
-        .withColumn("n_words", F.col("_facts.n_words"))
-        .withColumn("word_chars", F.length(F.regexp_replace(body, SPACE, "")).cast("long"))
-        .withColumn("n_symbols", F.length(F.regexp_replace(body, r"[^#*$%&|<>]++", "")).cast("long"))
-        .withColumn("n_dup_lines", let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-        .withColumn("n_repeat_words", F.col("_facts.n_repeat_words"))
-        .withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-        .drop("_facts")
+    counted = let(_words(body), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeated(w).alias("r")))
+    return let(
+        counted,
+        lambda c: F.struct(
+            c["n"].alias("n_words"),
+            F.length(F.regexp_replace(body, SPACE, "")).cast("long").alias("word_chars"),
+            F.length(F.regexp_replace(body, r"[^#*$%&|<>]++", "")).cast("long").alias("n_symbols"),
+            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            c["r"].alias("n_repeat_words"),
+            ((c["n"] < 20) | (100 * c["r"] > 30 * c["n"])).alias("base_failed"),
+        ),
     )
 
 
@@ -132,37 +133,39 @@ def removed_words(df: DataFrame, **options) -> DataFrame:
     return hits.groupBy("host", "t1", "t2").agg(F.sum("words").alias("removed"))
 
 
-def judge(df: DataFrame, *, text: str = "text", host: str = "source", least: int = LEAST_DOCUMENTS, share: float = SHARE, left: float = LEFT) -> DataFrame:
-    """``df`` without ``text`` and with the base facts, removed_words and kept."""
-    own = [f"_{i}" for i in ("host", "t1", "t2")]
-    facts = base_rules(df, text)
-    facts = facts.select(*[col(c) for c in facts.columns if c != text], col(host).alias(own[0]), *[k.alias(n) for k, n in zip(_text_key(col(text)), own[1:])])
-    return _with_verdict(facts, removed_words(df, text=text, host=host, least=least, share=share), own, left).drop(*own)
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
+
+
+def _key_of(host: Column, text: Column) -> list[Column]:
+    t1, t2 = _text_key(text)
+    return [host.alias("k_host"), t1.alias("k_t1"), t2.alias("k_t2")]
 
 
-def _with_verdict(facts: DataFrame, removed: DataFrame, own: list[str], left: float) -> DataFrame:
-    removed = removed.toDF("_r_host", "_r_t1", "_r_t2", "removed_words")
-    on = F.col(own[0]).eqNullSafe(F.col("_r_host")) & (F.col(own[1]) == F.col("_r_t1")) & (F.col(own[2]) == F.col("_r_t2"))
-    out = facts.join(removed, on, "left").drop("_r_host", "_r_t1", "_r_t2")
-    out = out.withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
-    depleted = (F.col("n_words") - F.col("removed_words")) < left * F.col("n_words")
-    return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
+def _same_key() -> Column:
+    return F.col("k_host").eqNullSafe(F.col("host")) & (F.col("k_t1") == F.col("t1")) & (F.col("k_t2") == F.col("t2"))
+
+
+def judge(df: DataFrame, *, text: str = "text", host: str = "source", least: int = LEAST_DOCUMENTS, share: float = SHARE, left: float = LEFT) -> DataFrame:
+    """``df`` without ``text`` and with the base facts, removed_words and kept; texts stay where they are read."""
+    names = [c for c in df.columns if c != text]
+    facts = df.select(F.struct(F.lit(0).alias("_"), *[col(c) for c in names]).alias("row"), base_facts(col(text)).alias("facts"), *_key_of(col(host), col(text)))
+    out = facts.join(removed_words(df, text=text, host=host, least=least, share=share), _same_key(), "left")
+    gone = F.coalesce("removed", F.lit(0)).cast("long")
+    kept = ~F.col("facts.base_failed") & ~(F.col("facts.n_words") - gone < left * F.col("facts.n_words"))
+    return out.select(*unpacked(names, RESULTS), "facts.*", gone.alias("removed_words"), kept.alias("kept"))
 
 
 def clean(df: DataFrame, *, text: str = "text", host: str = "source", least: int = LEAST_DOCUMENTS, share: float = SHARE, left: float = LEFT) -> DataFrame:
     """Documents of ``df`` that are kept, with their columns and whole texts.
 
-    Texts that fail the base rules go before the join with the depleted ones;
-    depletion is rare, so only the keys of depleted texts are matched.
+    Texts that fail the base rules go before the join; only the keys of
+    depleted texts are matched.
     """
-    names = df.columns
-    own = [f"_{i}" for i in ("host", "t1", "t2")]
-    facts = base_rules(df.select(*[col(c) for c in names]), text).where(~F.col("base_failed"))
-    facts = facts.select(*[col(c) for c in names], "n_words", col(host).alias(own[0]), *[k.alias(n) for k, n in zip(_text_key(col(text)), own[1:])])
-    removed = removed_words(df, text=text, host=host, least=least, share=share).toDF("_r_host", "_r_t1", "_r_t2", "_removed")
-    on = F.col(own[0]).eqNullSafe(F.col("_r_host")) & (F.col(own[1]) == F.col("_r_t1")) & (F.col(own[2]) == F.col("_r_t2"))
-    depleted = (F.col("n_words") - F.col("_removed")) < left * F.col("n_words")
-    return facts.join(removed, on & depleted, "left_anti").select(*[col(c) for c in names])
+    facts = packed(df).select("row", base_facts(field(text)).alias("facts")).where(~F.col("facts.base_failed"))
+    facts = facts.select("row", F.col("facts.n_words").alias("n_words"), *_key_of(field(host), field(text)))
+    removed = removed_words(df, text=text, host=host, least=least, share=share)
+    depleted = (F.col("n_words") - F.col("removed")) < left * F.col("n_words")
+    return facts.join(removed, _same_key() & depleted, "left_anti").select(*unpacked(df.columns))
 
 
 def strip_common_lines(df: DataFrame, *, text: str = "text", host: str = "source", least: int = LEAST_DOCUMENTS, share: float = SHARE) -> DataFrame:
@@ -170,9 +173,7 @@ def strip_common_lines(df: DataFrame, *, text: str = "text", host: str = "source
 
     The hashes gathered for a text are at most its own lines.
     """
-    hits = common_lines(df, text=text, host=host, least=least, share=share).groupBy("host", "t1", "t2").agg(F.collect_set("line").alias("_r_lines"))
-    hits = hits.toDF("_r_host", "_r_t1", "_r_t2", "_r_lines")
-    t1, t2 = _text_key(col(text))
-    joined = df.withColumn("_t1", t1).withColumn("_t2", t2).join(hits, col(host).eqNullSafe(F.col("_r_host")) & (F.col("_t1") == F.col("_r_t1")) & (F.col("_t2") == F.col("_r_t2")), "left")
-    rest = F.array_join(F.filter(F.split(col(text), "\n"), lambda x: ~F.array_contains("_r_lines", F.xxhash64(normal_line(x)))), "\n")
-    return joined.select(*[F.when(F.col("_r_lines").isNull(), col(text)).otherwise(rest).alias(c) if c == text else col(c) for c in df.columns])
+    hits = common_lines(df, text=text, host=host, least=least, share=share).groupBy("host", "t1", "t2").agg(F.collect_set("line").alias("common"))
+    joined = packed(df).select("row", *_key_of(field(host), field(text))).join(hits, _same_key(), "left")
+    rest = F.array_join(F.filter(F.split(field(text), "\n"), lambda x: ~F.array_contains("common", F.xxhash64(normal_line(x)))), "\n")
+    return joined.select(*[F.when(F.col("common").isNull(), field(c)).otherwise(rest).alias(c) if c == text else field(c).alias(c) for c in df.columns])

@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataquery.llm.common import col, cut_lineage, word_count
+from strataquery.llm.common import col, cut_lineage, field, packed, unpacked, word_count
 
 #: Rows of a range of shuffle keys, or of a range of finish times, that one task orders.
 RANGE_ROWS = 8192
@@ -116,7 +116,7 @@ def mixed_documents(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id"
     plan = mix(df, text=text, doc_id=doc_id, source=source, **options)
     # rows that agree in all three are interchangeable; they share their copies evenly
     plan = plan.groupBy("doc_id", "source", "size").agg(F.round(F.avg("copies")).cast("int").alias("copies")).where("copies > 0")
-    plan = plan.select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_mix_copy"))
-    sized = df.withColumn("_mix_words", word_count(col(text)))
-    on = col(doc_id).eqNullSafe(F.col("_mix_id")) & col(source).eqNullSafe(F.col("_mix_source")) & (F.col("_mix_words") == F.col("_mix_size"))
-    return sized.join(plan, on).select(*[col(c) for c in df.columns])
+    plan = plan.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    sized = packed(df).select("row", field(doc_id).alias("id"), field(source).alias("from"), word_count(field(text)).alias("words"))
+    on = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("from").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size"))
+    return sized.join(plan, on).select(*unpacked(df.columns))

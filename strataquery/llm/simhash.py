@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataquery.llm.common import arrow_udf, col, cut_lineage, fresh
+from strataquery.llm.common import arrow_udf, col, cut_lineage, field, packed, unpacked
 
 BITS = 64
 #: Most distinct fingerprints under one variant that are compared pair by pair.
@@ -176,8 +176,7 @@ def keep_one(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id", dista
     marked, named = _classes(df, text, doc_id, distance, 3, 42)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("first")
     best = marked.groupBy("fp").agg(first).join(named, "fp").groupBy("root").agg(F.min("first").alias("first"))
-    own, other = fresh(df, "text_hash"), fresh(df, "first_id")
-    hashed = df.withColumn(own, F.xxhash64(col(text)))
-    best = best.select(F.col("first.doc_id").alias(other), F.col("first.text_hash").alias("_" + own))
-    kept = hashed.join(best, col(doc_id).eqNullSafe(F.col(other)) & (F.col(own) == F.col("_" + own)), "left_semi")
-    return kept.dropDuplicates([doc_id, own]).drop(own)
+    best = best.select(F.col("first.doc_id").alias("best_id"), F.col("first.text_hash").alias("best_hash"))
+    hashed = packed(df).select("row", field(doc_id).alias("id"), F.xxhash64(field(text)).alias("text_hash"))
+    kept = hashed.join(best, F.col("id").eqNullSafe(F.col("best_id")) & (F.col("text_hash") == F.col("best_hash")), "left_semi")
+    return kept.dropDuplicates(["id", "text_hash"]).select(*unpacked(df.columns))
