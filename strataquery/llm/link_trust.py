@@ -4,10 +4,10 @@ A URL's host and path are matched against rules first. Hosts without a rule
 for the URL get the method's verdict: trust flows from hosts of allowed pages
 along links, distrust flows from hosts of blocked pages against links, both as
 personalised PageRank over the weighted host graph. A host is blocked if the
-distrust that reached it is more than the trust that did, and more than
-``THRESHOLD`` of an even share. What a seed holds by being a seed doesn't
-count against the rest of the host: its rule already judges the paths it
-covers. A host that no link reaches is allowed.
+distrust that reached it is more than the trust it holds, and more than
+``THRESHOLD`` of an even share. The distrust that a seed holds by being a seed
+doesn't count against the rest of the host: its rule already judges the paths
+it covers. A host that no link reaches is allowed.
 
 Links are the absolute and protocol-relative addresses in href and src
 attributes of the page, between different hosts; a link counts once for each
@@ -70,17 +70,17 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, follow: float = FOLLOW) -> DataFrame:
-    """host and the grains that reached it over edges (a, b, n) from seeds (host, n).
+    """host, the grains that reached it over edges (a, b, n) from seeds (host, n), and its mass in all.
 
     Personalised PageRank: of a host's mass the share ``follow`` goes on along
     its edges by weight, the rest and what rounding or dead ends lose returns
-    to the seeds; that returned mass isn't in the result.
+    to the seeds; that returned mass is only in the last column.
     """
     out = edges.groupBy("a").agg(F.sum("n").alias("all"))
     steps_of = cut_lineage(edges.join(out, "a").select("a", "b", (F.col("n") / F.col("all")).alias("share")))
     total = seeds.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if not total or steps_of.isEmpty():
-        return seeds.select("host", F.lit(0.0).alias("reached")).limit(0)
+        return seeds.select("host", F.lit(0.0).alias("reached"), F.lit(0.0).alias("mass")).limit(0)
     start = cut_lineage(seeds.select("host", F.floor(F.lit(float(MASS)) * F.col("n") / F.lit(float(total))).cast("double").alias("seed")))
     mass = start.select("host", F.col("seed").alias("mass"))
     reached = None
@@ -90,8 +90,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, follow: fl
         held = reached.agg(F.coalesce(F.sum("reached"), F.lit(0.0))).first()[0]
         back = (MASS - held) / MASS
         seeded = start.select("host", F.floor(F.col("seed") * F.lit(back)).cast("double").alias("mass"))
-        mass = seeded.unionByName(reached.withColumnRenamed("reached", "mass")).groupBy("host").agg(F.sum("mass").alias("mass"))
-    return reached
+        both = seeded.withColumn("reached", F.lit(0.0)).unionByName(reached.withColumn("mass", F.col("reached")))
+        mass = both.groupBy("host").agg(F.sum("mass").alias("mass"), F.sum("reached").alias("reached"))
+    return mass.where("reached > 0 or mass > 0")
 
 
 def host_verdicts(pages: DataFrame, rules: Sequence[Rule], *, url: str = "url", html: str = "html", steps: int = STEPS, threshold: float = THRESHOLD, edges: DataFrame | None = None) -> DataFrame:
@@ -100,9 +101,9 @@ def host_verdicts(pages: DataFrame, rules: Sequence[Rule], *, url: str = "url",
     known = pages.select(host.alias("host"), rule_of(host, path, rules)[1].alias("verdict")).groupBy("host").agg(F.count_if(F.col("verdict") == "allow").alias("good"), F.count_if(F.col("verdict") == "block").alias("bad"))
     known = cut_lineage(known.where("host != ''"))
     edges = cut_lineage(host_edges(pages, url, html) if edges is None else edges)
-    trust = propagate(edges, known.where("good > 0").select("host", F.col("good").alias("n")), steps).withColumnRenamed("reached", "trust")
+    trust = propagate(edges, known.where("good > 0").select("host", F.col("good").alias("n")), steps).select("host", F.col("mass").alias("trust"))
     against = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "n")
-    distrust = propagate(against, known.where("bad > 0").select("host", F.col("bad").alias("n")), steps).withColumnRenamed("reached", "distrust")
+    distrust = propagate(against, known.where("bad > 0").select("host", F.col("bad").alias("n")), steps).select("host", F.col("reached").alias("distrust"))
     even = MASS / max(1, known.count())
     judged = distrust.join(trust, "host", "left").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), "distrust")
     return judged.where((F.col("distrust") > F.col("trust")) & (F.col("distrust") > F.lit(threshold * even)))

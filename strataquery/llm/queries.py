@@ -201,8 +201,8 @@ seedst AS (SELECT host, floor(CAST(1099511627776 AS DOUBLE) * good / CAST(sum(go
 seedsd AS (SELECT host, floor(CAST(1099511627776 AS DOUBLE) * bad / CAST(sum(bad) OVER () AS DOUBLE)) AS seed FROM known WHERE bad > 0),
 {", ".join(chains)},
 blocked AS (
-  SELECT d.host FROM reachedd{link_trust.STEPS} d LEFT JOIN reachedt{link_trust.STEPS} t USING (host)
-  WHERE d.reached > coalesce(t.reached, 0) AND d.reached > CAST(1 AS DOUBLE) * (1099511627776 / CAST(greatest(1, (SELECT count(*) FROM known)) AS DOUBLE)))
+  SELECT d.host FROM reachedd{link_trust.STEPS} d LEFT JOIN masst{link_trust.STEPS} t USING (host)
+  WHERE d.reached > coalesce(t.mass, 0) AND d.reached > CAST(1 AS DOUBLE) * (1099511627776 / CAST(greatest(1, (SELECT count(*) FROM known)) AS DOUBLE)))
 SELECT page_id, host, path, rule, coalesce(word, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM r
 """
 

@@ -91,8 +91,8 @@ def present(text: str | None, known: _Words) -> set[str]:
     return found
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, width: int, ridge: float = RIDGE, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and cuts that maximise the likelihood less ``ridge`` times the squared weights (Adam, full batch).
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, width: int, ridge: float = RIDGE, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and cuts that maximise the likelihood less ``ridge`` times the squared weights (Adam, full batch, steps that shrink).
 
     ``rows``: feature numbers of each text. The second cut is the first plus an
     exponential, so cuts rise.
@@ -119,7 +119,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, width: int, ridge: f
         gradient = np.concatenate([np.bincount(flat, by_total[owner], minlength=width) - 2 * ridge * w, tails[:1], tails[1:] * np.exp(np.clip(raw[1:], -10, 10))])
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
-        params = params + 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        params = params + 0.1 * (1 - step / (steps + 1)) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     raw = params[width:]
     return params[:width], np.cumsum(np.concatenate([raw[:1], np.exp(np.clip(raw[1:], -10, 10))]))
 
