@@ -43,7 +43,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids and decoded text of each document of the mixture, as counts and digests (operator 5)."""
-    done = bpe.decode_documents(bpe.encode_documents(docs.select("doc_id", "text")))
+    done = bpe.round_trip(docs.select("doc_id", "text"))
     return done.select(
         "doc_id",
         F.expr("div(octet_length(token_ids), 4L)").alias("n_tokens"),

@@ -33,7 +33,7 @@ from strataquery.llm.common import arrow_udf, col
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Pieces and fragments that a worker remembers, and the longest it does.
-KEPT, KEPT_LENGTH = 400_000, 48
+KEPT, KEPT_LENGTH = 250_000, 48
 #: Characters from which a text's pieces are walked instead of listed.
 LONG_TEXT = 1_000_000
 
@@ -53,8 +53,11 @@ def byte_alphabet() -> list[str]:
 
 
 @lru_cache(maxsize=1)
-def _unassigned() -> re.Pattern:
-    """Code points without a category here; libraries of other Unicode versions may class them otherwise."""
+def _unassigned() -> tuple[re.Pattern, re.Pattern]:
+    """Code points without a category here, which libraries of other Unicode versions may class otherwise.
+
+    The first pattern is fast: all from the first such code point on.
+    """
     parts, start = [], None
     for cp in range(0x110001):
         free = cp < 0x110000 and unicodedata.category(chr(cp)) == "Cn"
@@ -63,7 +66,12 @@ def _unassigned() -> re.Pattern:
         elif not free and start is not None:
             parts.append(f"\\U{start:08x}-\\U{cp - 1:08x}")
             start = None
-    return re.compile("[" + "".join(parts) + "]")
+    return re.compile("[" + parts[0][:10] + "-\\U0010ffff]"), re.compile("[" + "".join(parts) + "]")
+
+
+def _odd(text: str, start: int = 0) -> bool:
+    some, exact = _unassigned()
+    return not text.isascii() and bool(some.search(text, start)) and bool(exact.search(text, start))
 
 
 class ForcedCutBPE:
@@ -87,17 +95,13 @@ class ForcedCutBPE:
         self.table: list[bytes] = [b""] * size
         for token, i in model["vocab"].items():
             self.table[i] = bytes(byte_of[c] for c in token)
-        inside = bytearray(1 << 16)
-        for token in self.table:
-            for a, b in zip(token, token[1:]):
-                inside[a << 8 | b] = 1
-        #: inside[a << 8 | b]: bytes a and b are neighbours in some token.
-        self.inside = bytes(inside)
+        #: Pairs of bytes that are neighbours in some token.
+        self.inside = {pair for token in self.table for pair in zip(token, token[1:])}
         for content, i in added.items():
             self.table[i] = content.encode()
         self._added = {c: struct.pack("<I", i) for c, i in added.items()}
         self._added_at = regex.compile("(" + "|".join(regex.escape(c) for c in sorted(added, key=len, reverse=True)) + ")") if added else None
-        self._model = models.BPE(vocab=model["vocab"], merges=[tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
+        self._model = models.BPE(vocab=model["vocab"], merges=[tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], cache_capacity=0)
         self._split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
         self.pattern = regex.compile(PIECES)
         self._pieces = _Memory(self._encode_piece)
@@ -105,9 +109,11 @@ class ForcedCutBPE:
 
     def fragments(self, piece: bytes) -> list[bytes]:
         """Cut where the bytes on both sides are neighbours in no token."""
+        if self.inside.issuperset(zip(piece, piece[1:])):
+            return [piece]
         inside, start, out = self.inside, 0, []
-        for i in range(1, len(piece)):
-            if not inside[piece[i - 1] << 8 | piece[i]]:
+        for i, pair in enumerate(zip(piece, piece[1:]), 1):
+            if pair not in inside:
                 out.append(piece[start:i])
                 start = i
         out.append(piece[start:])
@@ -119,11 +125,14 @@ class ForcedCutBPE:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _encode_piece(self, piece: str) -> bytes:
-        return b"".join(map(self._fragments.__getitem__, self.fragments(piece.encode())))
+        parts = self.fragments(piece.encode())
+        if len(parts) == 1:
+            return self._encode_fragment(parts[0])
+        return b"".join(map(self._fragments.__getitem__, parts))
 
     def pieces(self, text: str) -> Iterator[str] | list[str]:
         """Pre-tokens of ordinary text, as the vocabulary's own pre-tokenizer cuts them."""
-        if not text.isascii() and _unassigned().search(text):
+        if _odd(text):
             return [text[a:b] for _, (a, b) in self._split.pre_tokenize_str(text)]
         if len(text) > LONG_TEXT:
             return (m.group() for m in self.pattern.finditer(text))
@@ -131,7 +140,7 @@ class ForcedCutBPE:
 
     def pieces_from(self, text: str, start: int) -> Iterator[str]:
         """Pre-tokens of ``text`` from the boundary ``start`` on, found as they are asked for."""
-        if not text.isascii() and _unassigned().search(text, start):
+        if _odd(text, start):
             return iter(self.pieces(text[start:]))
         return (m.group() for m in self.pattern.finditer(text, start))
 
@@ -215,3 +224,17 @@ def encode_documents(df: DataFrame, *, text: str = "text", into: str = "token_id
 def decode_documents(df: DataFrame, *, ids: str = "token_ids", into: str = "decoded", path: str | None = None) -> DataFrame:
     """``df`` and a string column ``into`` with the text of ``ids``."""
     return df.withColumn(into, decoded(col(ids), path))
+
+
+def round_trip(df: DataFrame, *, text: str = "text", ids: str = "token_ids", back: str = "decoded", path: str | None = None) -> DataFrame:
+    """``df`` with the ids of each whole text and their text, by one pass through the workers."""
+    path = path or default_vocabulary()
+
+    @arrow_udf("struct<ids: binary, text: string>")
+    def there_and_back(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = coder(path)
+        for part in parts:
+            packed = pa.array([own.encode(x or "") for x in part.to_pylist()], pa.binary())
+            yield pa.StructArray.from_arrays([packed, pa.array([own.decode(x.as_py()) for x in packed], pa.string())], names=["ids", "text"])
+
+    return df.withColumn(ids, there_and_back(col(text))).withColumn(back, F.col(f"{ids}.text")).withColumn(ids, F.col(f"{ids}.ids"))

@@ -53,7 +53,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _token_digests(docs: DataFrame) -> DataFrame:
-    done = bpe.decode_documents(bpe.encode_documents(docs))
+    done = bpe.round_trip(docs)
     return done.select("doc_id", F.expr("div(octet_length(token_ids), 4L)").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -45,7 +45,7 @@ def test_pieces_agree_with_the_pre_tokenizer_for_every_character():
         if 0xD800 <= cp < 0xE000:
             continue
         text = f"a{chr(cp)}1{chr(cp)}!{chr(cp)}"
-        if not bpe._unassigned().search(text) and cp % 3 == 0:
+        if not bpe._odd(text) and cp % 3 == 0:
             assert [x for x in CODER.pattern.findall(text)] == [text[a:b] for _, (a, b) in known.pre_tokenize_str(text)], hex(cp)
 
 
@@ -58,7 +58,6 @@ def test_cuts_are_where_no_token_has_both_bytes():
         for a, b in zip(parts, parts[1:]):
             pair = a[-1:] + b[:1]
             assert not any(pair in token for token in CODER.table)
-    assert CODER.fragments("éè".encode()) != ["éè".encode()] or True
 
 
 def test_long_text_is_walked(monkeypatch):
