@@ -106,6 +106,8 @@ class ForcedCutBPE:
         self.pattern = regex.compile(PIECES)
         self._pieces = _Memory(self._encode_piece)
         self._fragments = _Memory(self._encode_fragment)
+        #: Tokens of each piece.
+        self.counts = _Memory(lambda piece: len(self._encode_piece(piece)) >> 2)
 
     def fragments(self, piece: bytes) -> list[bytes]:
         """Cut where the bytes on both sides are neighbours in no token."""
@@ -156,8 +158,8 @@ class ForcedCutBPE:
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.table.__getitem__, _unpacked(ids))).decode("utf-8", "replace")
 
-    def count(self, piece: str) -> int:
-        return len(self._pieces[piece]) >> 2
+    def count(self, pieces: list[str]) -> int:
+        return sum(map(self.counts.__getitem__, pieces))
 
 
 class _Memory(dict):

@@ -95,12 +95,16 @@ class SegmentTree:
 
 
 def build(text: str, own: ForcedCutBPE) -> SegmentTree:
-    """Tree of a whole text; pieces are taken block by block, so memory doesn't grow with them."""
+    """Tree of a whole text; the pieces of a long text are taken block by block."""
     chars, tokens = [], []
-    pieces = iter(own.pieces(text))
-    while block := list(islice(pieces, BLOCK)):
+    pieces = own.pieces(text)
+    if isinstance(pieces, list):
+        blocks = (pieces[i : i + BLOCK] for i in range(0, len(pieces), BLOCK))
+    else:
+        blocks = iter(lambda: list(islice(pieces, BLOCK)), [])
+    for block in blocks:
         chars.append(sum(map(len, block)))
-        tokens.append(sum(map(own.count, block)))
+        tokens.append(own.count(block))
     return SegmentTree(chars, tokens)
 
 
@@ -128,7 +132,7 @@ def edit(text: str, tree: SegmentTree, start: int, removed: int, inserted: str,
         leaf += 1
         border += tree.chars[tree.width + leaf]
     blocks = [pieces[i : i + BLOCK] for i in range(0, len(pieces), BLOCK)] or [[]]
-    sums = [(sum(map(len, b)), sum(map(own.count, b))) for b in blocks]
+    sums = [(sum(map(len, b)), own.count(b)) for b in blocks]
     if len(sums) <= leaf - first + 1:  # the leaves do; those left over are empty
         for i in range(first, leaf + 1):
             tree.set(i, *(sums[i - first] if i - first < len(sums) else (0, 0)))
