@@ -16,7 +16,7 @@ _SCRIPT = [
     ("class", rf"\bclass\s+({_NAME})"),
     ("function", rf"\bfunction\s*\*?\s*({_NAME})\s*[(<]"),
     ("function", rf"\b(?:const|let|var)\s+({_NAME})\s*(?::[^=;]+)?=\s*(?:async\s*)?(?:function\b|\([^()]*\)\s*(?::[^=;{{]+)?=>|{_NAME}\s*=>)"),
-    ("method", rf"^[ \t]+(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*\*?(?!(?:if|for|while|switch|catch|return|function|else|do|new|await|typeof)\b)(#?{_NAME})\s*(?:<[^>(]*>)?\([^;{{}}]*\)\s*(?::[^;{{}}=]+)?\{{"),
+    ("method", rf"^[ \t]+(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*\*?(?!(?:if|for|while|switch|catch|return|function|else|do|new|await|typeof)\b)(#?{_NAME})\s*(?:<[^>(]*>)?\((?:[^;{{}}()]|\{{[^{{}}]*\}}|\([^()]*\))*\)\s*(?::[^;{{}}=]+)?\{{"),
 ]
 _TYPED = [*_SCRIPT, ("interface", rf"\binterface\s+({_NAME})"), ("type", rf"\btype\s+({_NAME})\s*(?:<[^=]*>)?\s*="), ("enum", rf"\benum\s+({_NAME})")]
 HEADS: dict[str, list[tuple[str, str]]] = {

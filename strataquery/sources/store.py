@@ -93,12 +93,13 @@ class PartitionStore:
 
     # -- writes -----------------------------------------------------------
 
-    def commit(self, rows: dict[str, DataFrame], *, replaced: DataFrame | None = None, removed: DataFrame | None = None, journal: str | None = None) -> int:
+    def commit(self, rows: dict[str, DataFrame], *, replaced: DataFrame | None = None, removed: DataFrame | None = None, only: dict[str, DataFrame] | None = None, journal: str | None = None) -> int:
         """Publish new rows and retire those of replaced and removed files; the new version, or the live one if nothing changed.
 
-        ``replaced`` and ``removed`` have the parent id. A file in both is
-        replaced. On any failure the manifest is as it was, so readers never see
-        a part of a commit.
+        ``replaced`` and ``removed`` have the parent id and hold for all tables,
+        ``only`` has ids for single tables. A file in both is replaced. On any
+        failure the manifest is as it was, so readers never see a part of a
+        commit.
         """
         manifest = self._manifest()
         number = manifest["next"]
@@ -118,6 +119,11 @@ class PartitionStore:
             for table, schema in self.tables.items():
                 if deletes:
                     state[table]["deletes"].append([number, deletes])
+                if only and table in only:
+                    own = self._written(only[table].select(self.parent).distinct(), f"{base}/deletes-{table}", f"{self.parent} string")
+                    if own:
+                        state[table]["deletes"].append([number, own])
+                        changed = True
                 if table in rows:
                     columns = self.spark.createDataFrame([], schema).columns
                     if path := self._written(rows[table].select(*columns), f"{base}/{table}", schema):

@@ -10,9 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
-def read_stream(spark: SparkSession, folder: str, schema: str, *, files_per_trigger: int = 64) -> DataFrame:
+def read_stream(spark: SparkSession, folder: str, schema: str | StructType, *, files_per_trigger: int = 64) -> DataFrame:
     """Rows of Parquet files as they arrive in a folder."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
