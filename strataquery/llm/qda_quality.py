@@ -1,6 +1,6 @@
 """Quality classifier by regularised quadratic discriminant analysis (operator 8).
 
-Each text becomes a few transformed statistics of its bytes, words and lines.
+Each text becomes a few transformed statistics of its bytes and words.
 For each class the mean and a covariance shrunk towards a multiple of the
 identity are learned; the score is the logistic of the difference of the
 classes' log densities (Mahalanobis distances through cached inverse Cholesky
@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 
 from strataquery.llm.common import arrow_udf, col
 
-SHRINKAGE = 0.1
-STATISTICS = 9
+SHRINKAGE = 0.3
+STATISTICS = 8
+#: Words that damp the share of repeated ones, which says little in short texts.
+DAMPING = 20
 
 _KINDS = np.zeros((5, 256))
 for _row, _members in enumerate((b"#*$%&|<>", bytes(range(65, 91)), b"!?", b".,;:'\"()-", b"0123456789")):
@@ -46,15 +48,8 @@ def statistics(text: str | None) -> list[float]:
     kinds = _KINDS @ np.bincount(np.frombuffer(data, np.uint8), minlength=256)
     size = len(data) + 1.0
     n = len(words)
-    lines = data.split(b"\n")
     shares = np.sqrt(kinds / size)
-    return [
-        *shares.tolist(),
-        np.log1p(size / (n + 1.0)),
-        (1.0 - len(set(words)) / n) ** 0.5 if n else 0.0,
-        (1.0 - len(set(lines)) / len(lines)) ** 0.5,
-        np.log1p(n) ** 0.5,
-    ]
+    return [*shares.tolist(), np.log1p(size / (n + 1.0)), ((n - len(set(words))) / (n + DAMPING)) ** 0.5, np.log1p(n) ** 0.5]
 
 
 def statistics_of(text: Column) -> Column:

@@ -10,8 +10,8 @@ The model is P(grade > k) = logistic(w x - cut_k) with one weight vector for
 all cuts and rising cuts. x holds sparse features: whole words and their first
 4, 5 and 6 letters, lower-cased, each present or absent, since stems carry
 inflections. Features are chosen by counts over the training sample (at least
-``LEAST_TEXTS`` texts, smoothed log odds of at least ``LEAST_Z`` standard
-errors, the ``FEATURES`` strongest), so driver memory is bounded by
+``LEAST_TEXTS`` texts, smoothed log odds of at least ``LEAST_ODDS`` and
+``LEAST_Z`` standard errors, the ``FEATURES`` strongest), so driver memory is bounded by
 ``SAMPLE_ROWS`` and ``FEATURES`` whatever the input. Texts are scored whole.
 
 ``SAMPLE_ROWS`` bounds the labelled rows that are learned from: those with the
@@ -34,13 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataquery.llm.common import arrow_udf, col, cut_lineage
-from strataquery.shipping import ship
+from strataquery.llm.common import arrow_udf, col, cut_lineage, prepare_workers
 
 SAMPLE_ROWS = 20_000
 FEATURES = 4096
 LEAST_TEXTS = 4
-LEAST_Z = 3.5
+LEAST_Z, LEAST_ODDS = 3.0, 3.0
 STEMS = (4, 5, 6)
 RIDGE = 0.02
 #: Distinct tokens whose features a worker remembers.
@@ -127,7 +126,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, width: int, ridge: f
 def fit(documents: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", sample_rows: int = SAMPLE_ROWS, most: int = FEATURES) -> Ordinal:
     """Learn from a bounded sample of the labelled rows."""
     spark = documents.sparkSession
-    ship(spark)
+    prepare_workers(spark)
     marked = labels.select(col(doc_id).alias("id"), col(label).cast("int").alias("y")).where("y in (0, 1) and id is not null")
     chosen = marked.orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id", "y").limit(sample_rows)
     sample = documents.select(col(doc_id).alias("id"), col(text).alias("text")).join(F.broadcast(chosen), "id")  # sample_rows rows at most
@@ -145,7 +144,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, text: str = "text", doc_id:
     counts = texts.select("y", F.explode("features").alias("f")).groupBy("f").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where(F.col("a") + F.col("b") >= LEAST_TEXTS)
     odds = F.log((F.col("a") + 0.5) / (bad - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (good - F.col("b") + 0.5))
     error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (bad - F.col("a") + 0.5) + 1 / (F.col("b") + 0.5) + 1 / (good - F.col("b") + 0.5))
-    strong = counts.select("f", odds.alias("odds"), (F.abs(odds) / error).alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.col("z").desc(), "f").limit(most).collect()
+    strong = counts.select("f", odds.alias("odds"), (F.abs(odds) / error).alias("z")).where((F.col("z") >= LEAST_Z) & (F.abs("odds") >= LEAST_ODDS)).orderBy(F.col("z").desc(), "f").limit(most).collect()
     if not strong:
         share = bad / (bad + good)
         return Ordinal({}, (float(np.log(1 / share - 1)), 500.0))
