@@ -14,8 +14,9 @@ import uuid
 from collections.abc import Sequence
 from datetime import UTC, datetime, timedelta
 from pathlib import Path
+from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataquery.errors import EngineError
@@ -24,20 +25,44 @@ from strataquery.operators import changes, paging, references, retrieval, window
 from strataquery.settings import Settings
 from strataquery.sources import extract, files, history, project
 from strataquery.sources.hadoop import Folder
+from strataquery.sources.progress import Progress
 from strataquery.sources.store import PartitionStore
 
 #: Schema generation of the stored tables.
 SCHEMA_VERSION = 5
 #: Seconds for which a clean answer to "is the index fresh" holds.
 FRESH_SECONDS = 5
-MODEL = "hashed-words-v1"
+
+
+class Embedder(Protocol):
+    """What turns passages and queries into vectors; ``model`` names it, and rows of another model are rebuilt."""
+
+    model: str
+
+    def passages(self, text: Column) -> Column: ...
+
+    def query(self, text: str) -> Sequence[float]: ...
+
+
+class HashedWords:
+    """The embedder without a model: hashed word counts."""
+
+    def __init__(self, width: int):
+        self.model, self.width = "hashed-words-v1", width
+
+    def passages(self, text: Column) -> Column:
+        return vectors.hash_embedding(text, self.width)
+
+    def query(self, text: str) -> Sequence[float]:
+        return vectors.hashed_words(text, self.width)
 
 
 class Engine:
     """``root`` is a folder on any file system that Spark reaches; it holds the registry and all partitions."""
 
-    def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None):
+    def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None, embedder: Embedder | None = None):
         self.spark, self.settings = spark, settings or Settings.from_environment()
+        self.embedder = embedder or HashedWords(self.settings.vector_width)
         self.folder = Folder(spark, root)
         self._fresh: dict[str, tuple] = {}
         self._runs = PartitionStore(spark, self.folder.at("runs"), {"runs": history.RUNS}, parent="run_id")
@@ -70,7 +95,7 @@ class Engine:
         if known and project.overlap(known["root"], own.root) != "same" and Path(known["root"], project.MARKER).exists():
             raise EngineError("PROJECT_ID_CONFLICT", "another folder is registered under this id", root=known["root"])
         state = known["state"] if known else "new"
-        registry["projects"][own.id] = {"id": own.id, "name": own.name, "root": own.root, "include": list(own.include), "exclude": list(own.exclude), "largest": own.largest, "model": MODEL, "width": self.settings.vector_width, "schema": SCHEMA_VERSION, "storage": self.settings.vector_storage, "state": state}
+        registry["projects"][own.id] = {"id": own.id, "name": own.name, "root": own.root, "include": list(own.include), "exclude": list(own.exclude), "largest": own.largest, "model": self.embedder.model, "width": self.settings.vector_width, "schema": SCHEMA_VERSION, "storage": self.settings.vector_storage, "state": state}
         self._save(registry)
         return own
 
@@ -140,6 +165,8 @@ class Engine:
         store = self._store(slot)
         store.recover()
         store.lock()
+        progress = Progress(self.folder, own.id)
+        progress.update("indexing", 0, force=True)
         run = {"run_id": uuid.uuid4().hex, "project_id": own.id, "trigger": trigger, "pid": os.getpid(), "started_at": datetime.now(UTC), "config_hash": own.config_hash[:16], "slot_id": slot}
         began = time.monotonic()
         try:
@@ -150,11 +177,12 @@ class Engine:
             raise
         finally:
             store.unlock()
+            progress.clear()
             self._audit(run | report | {"state": state, "finished_at": datetime.now(UTC), "duration_ms": int(1000 * (time.monotonic() - began))})
         self._fresh[own.id] = (time.monotonic(), slot, own.config_hash)
         registry = self._registry()
         entry = registry["projects"][own.id]
-        entry |= {"state": changes.derived_state(store.read("files"), report["files_failed"]).first()["state"], "model": MODEL, "width": self.settings.vector_width, "schema": SCHEMA_VERSION, "storage": self.settings.vector_storage}
+        entry |= {"state": changes.derived_state(store.read("files"), report["files_failed"]).first()["state"], "model": self.embedder.model, "width": self.settings.vector_width, "schema": SCHEMA_VERSION, "storage": self.settings.vector_storage}
         registry["slots"][slot]["state"] = entry["state"]
         self._save(registry)
         if self.settings.auto_maintenance:
@@ -180,7 +208,7 @@ class Engine:
             fresh = parsed.select("file_id", "project_id", "path", "language", "content_hash", "has_errors", "error").join(facts, "file_id").withColumn("indexed_at", now)
             again = read.where(touched).select("file_id", "size", F.col("mtime_ns").alias("m"), F.lit(True).alias("hit")).join(stored.drop("size", "mtime_ns", "indexed_at"), "file_id").withColumnRenamed("m", "mtime_ns").withColumn("indexed_at", now).drop("hit")
             gone = changes.removed(stored, scanned.where("status = 'candidate'"))
-            chunk_rows = extract.chunk_rows(parsed, slot, self.settings.vector_width)
+            chunk_rows = extract.chunk_rows(parsed, slot, self.embedder.passages)
             if self.settings.vector_storage == "float16":
                 chunk_rows = chunk_rows.withColumn("vector", vectors.half_precision(F.col("vector")))
             rows = {"files": fresh.unionByName(again.select(*fresh.columns)), "chunks": chunk_rows, "references": extract.reference_rows(parsed)}
@@ -220,7 +248,7 @@ class Engine:
         known = self._registry()["projects"][project_id]
         if known["state"] == "new":
             return ""
-        row = self.spark.range(1).select(changes.incompatibility(F.lit(known["model"]), F.lit(known["width"]), F.lit(known["schema"]), F.lit(known["storage"]), want=(MODEL, self.settings.vector_width, SCHEMA_VERSION, self.settings.vector_storage)).alias("r")).first()
+        row = self.spark.range(1).select(changes.incompatibility(F.lit(known["model"]), F.lit(known["width"]), F.lit(known["schema"]), F.lit(known["storage"]), want=(self.embedder.model, self.settings.vector_width, SCHEMA_VERSION, self.settings.vector_storage)).alias("r")).first()
         return row["r"]
 
     def is_stale(self, selector: str) -> bool:
@@ -286,7 +314,7 @@ class Engine:
         registry = self._registry()
         known = self._runs.read("runs").where((F.col("project_id") == own.id) & F.col("finished_at").isNotNull())
         last = known.orderBy(F.col("started_at").desc(), F.col("run_id").desc()).limit(1).collect()
-        return {"project_id": own.id, "name": own.name, "state": registry["projects"][own.id]["state"], "files": store.read("files").count(), "chunks": store.read("chunks").count(), "version": store.version, "last_run": last[0].asDict() if last else None, "stale": self.is_stale(own.id), "incompatibility": self.incompatibility(own.id)}
+        return {"project_id": own.id, "name": own.name, "state": registry["projects"][own.id]["state"], "files": store.read("files").count(), "chunks": store.read("chunks").count(), "version": store.version, "last_run": last[0].asDict() if last else None, "stale": self.is_stale(own.id), "incompatibility": self.incompatibility(own.id), "progress": Progress(self.folder, own.id).read()}
 
     def inspect_scan(self, selector: str, statuses: Sequence[str] = (), offset: int = 0, limit: int = 100) -> dict:
         """What indexing would do with each path, without reading a file."""
@@ -384,7 +412,7 @@ class Engine:
             chunks = chunks.where(paths.path_matches(F.col("path"), list(paths_like)))
         words = [w.lower() for w in re.findall(r"[^\W_]+", query)] or [query.lower()]
         texts = retrieval.bm25(chunks, "chunk_id", "content", words).unionByName(retrieval.bm25(chunks, "chunk_id", "identifier_terms", words)).groupBy("key").agg(F.sum("score").alias("score"))
-        near = retrieval.vector_scores(chunks, "chunk_id", "vector", vectors.hashed_words(query, self.settings.vector_width)).where(F.col("score").isNotNull())
+        near = retrieval.vector_scores(chunks, "chunk_id", "vector", self.embedder.query(query)).where(F.col("score").isNotNull())
         fetch = retrieval.fetch_size(limit)
 
         def ranks(scores: DataFrame) -> DataFrame:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataquery.functions.text import context_header, identifier_terms
+from strataquery.functions.text import context_header, identifier_terms, passage
 from strataquery.functions.vectors import hash_embedding
 from strataquery.operators.references import GENERATION
 from strataquery.operators.windows import bounded_line_windows
@@ -122,13 +122,13 @@ def extract(files: DataFrame) -> DataFrame:
     return files.select("file_id", "project_id", "path", "language", "content").mapInPandas(run, PARSED)
 
 
-def chunk_rows(parsed: DataFrame, slot_id: str, width: int = 64) -> DataFrame:
-    """Chunk table rows with ids, search terms and vectors."""
+def chunk_rows(parsed: DataFrame, slot_id: str, embed: Callable[[Column], Column] = hash_embedding) -> DataFrame:
+    """Chunk table rows with ids, search terms and the vectors that ``embed`` gives for a chunk's passage."""
     c = parsed.select("project_id", "file_id", "path", "language", "content_hash", F.explode("chunks").alias("c")).select("project_id", "file_id", "path", "language", "content_hash", "c.*")
     parts = [F.lit(slot_id), F.col("file_id"), F.col("content_hash"), F.col("kind"), F.coalesce("qualified_symbol", F.lit("")), F.col("start_byte"), F.col("end_byte"), F.col("part_index")]
     digest = F.sha2(F.concat_ws("\0", *[p.cast("string") for p in parts]).cast("binary"), 256)
     header = context_header(F.col("language"), F.col("path"), F.col("kind"), F.col("qualified_symbol"))
-    return c.withColumn("chunk_id", F.concat_ws(":", "project_id", digest)).withColumn("identifier_terms", identifier_terms(F.col("path"), F.col("qualified_symbol"), F.col("symbol"))).withColumn("vector", hash_embedding(F.concat_ws("\n", header, "content"), width))
+    return c.withColumn("chunk_id", F.concat_ws(":", "project_id", digest)).withColumn("identifier_terms", identifier_terms(F.col("path"), F.col("qualified_symbol"), F.col("symbol"))).withColumn("vector", embed(passage(header, F.col("content"))))
 
 
 def reference_rows(parsed: DataFrame) -> DataFrame:

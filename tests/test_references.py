@@ -12,7 +12,7 @@ from strataquery.sources import extract
 def index(spark, sources):
     rows = [(p, "proj", p, "python" if p.endswith(".py") else "typescript" if p.endswith(".ts") else "javascript", code.encode()) for p, code in sources.items()]
     parsed = extract.extract(spark.createDataFrame(rows, "file_id string, project_id string, path string, language string, content binary"))
-    return extract.reference_rows(parsed).localCheckpoint(), spark.createDataFrame([(p,) for p in sources], "path string")
+    return extract.reference_rows(parsed).persist(), spark.createDataFrame([(p,) for p in sources], "path string")
 
 
 def selected(rows, path, symbol):
