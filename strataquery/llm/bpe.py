@@ -21,6 +21,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -32,8 +33,9 @@ from strataquery.llm.common import arrow_udf, col
 # Fixed value: the public pre-token pattern of byte-level BPE tokenizers.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Pieces and fragments that a worker remembers, and the longest it does.
-KEPT, KEPT_LENGTH = 250_000, 48
+#: Pieces and fragments that a worker remembers, and the longest it does. A machine has several workers, and
+#: each may come to hold a coder.
+KEPT, KEPT_LENGTH = 120_000, 48
 #: Characters from which a text's pieces are walked instead of listed.
 LONG_TEXT = 1_000_000
 
@@ -163,7 +165,7 @@ class ForcedCutBPE:
 
 
 class _Memory(dict):
-    """A bounded cache: forgets all when full, never keeps long keys."""
+    """A bounded cache: forgets the older half when full, never keeps long keys."""
 
     def __init__(self, make):
         super().__init__()
@@ -173,7 +175,8 @@ class _Memory(dict):
         value = self._make(key)
         if len(key) <= KEPT_LENGTH:
             if len(self) >= KEPT:
-                self.clear()
+                for old in list(islice(self, (KEPT + 1) // 2)):
+                    del self[old]
             self[key] = value
         return value
 

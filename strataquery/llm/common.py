@@ -55,9 +55,23 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+#: Bytes of rows that go to a Python worker at once. The buffers for them lie outside the heap of the JVM,
+#: once or twice in each direction, and again in the worker.
+BATCH_BYTES = 2 << 20
+
+
+def prepare_workers(spark: SparkSession) -> None:
+    """Let workers import this package, and bound the batches that they get in this session."""
+    ship(spark)
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(setting))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
 def arrow_udf(returns: str):
-    """``functions.arrow_udf`` for functions of this package, which workers then can import."""
-    ship(SparkSession.active())
+    """``functions.arrow_udf`` for functions of this package."""
+    prepare_workers(SparkSession.active())
     return F.arrow_udf(returns)
 
 

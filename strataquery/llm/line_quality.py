@@ -30,6 +30,8 @@ LEAST_DOCUMENTS = 20
 SHARE = 0.2
 LEFT = 0.3
 WINDOW = 8
+#: Most depleted texts that are broadcast: 16 bytes and a host name each.
+BROADCAST_TEXTS = 50_000
 
 
 def _words(text: Column) -> Column:
@@ -66,20 +68,32 @@ def _repeated(words: Column) -> Column:
     return F.coalesce(let(windows, lambda hashes: F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), covered(hashes)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"))
 
 
+def _counted(body: Column) -> Column:
+    """Struct of the words (n) and of those in repeated windows (r)."""
+    return let(_words(body), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeated(w).alias("r")))
+
+
+def _failed(c: Column) -> Column:
+    return (c["n"] < 20) | (100 * c["r"] > 30 * c["n"])
+
+
+def base_failed(text: Column) -> Column:
+    return let(_counted(F.coalesce(text, F.lit(""))), _failed)
+
+
 def base_facts(text: Column) -> Column:
     """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed of a whole text."""
     body = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD))
-    counted = let(_words(body), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeated(w).alias("r")))
     return let(
-        counted,
+        _counted(body),
         lambda c: F.struct(
             c["n"].alias("n_words"),
             F.length(F.regexp_replace(body, SPACE, "")).cast("long").alias("word_chars"),
             F.length(F.regexp_replace(body, r"[^#*$%&|<>]++", "")).cast("long").alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             c["r"].alias("n_repeat_words"),
-            ((c["n"] < 20) | (100 * c["r"] > 30 * c["n"])).alias("base_failed"),
+            _failed(c).alias("base_failed"),
         ),
     )
 
@@ -112,25 +126,40 @@ def _text_key(text: Column) -> list[Column]:
     return [F.xxhash64(body).alias("t1"), F.xxhash64(F.lit(7), body).alias("t2")]
 
 
-def common_lines(df: DataFrame, *, text: str = "text", host: str = "source", least: int = LEAST_DOCUMENTS, share: float = SHARE) -> DataFrame:
-    """host, t1, t2, line hash and words (over all its places) of each common line of each distinct text.
+def text_lines(df: DataFrame, *, text: str = "text", host: str = "source") -> DataFrame:
+    """host, t1, t2, line hash and words (over all its places) of each distinct line of each distinct text.
 
-    Map-side aggregation folds copies of a text and documents with the same
-    line before either shuffle.
+    Map-side aggregation folds copies of a text before the shuffle.
     """
     rows = df.select(col(host).alias("host"), *_text_key(col(text)), F.explode(distinct_lines(col(text))).alias("of")).select("host", "t1", "t2", "of.line", "of.words")
-    rows = cut_lineage(rows.groupBy("host", "t1", "t2", "line").agg(F.max("words").alias("words")))
+    return cut_lineage(rows.groupBy("host", "t1", "t2", "line").agg(F.max("words").alias("words")))
+
+
+def common_lines(rows: DataFrame, least: int = LEAST_DOCUMENTS, share: float = SHARE) -> DataFrame:
+    """h and l: host and hash of the lines of ``text_lines`` above the limits."""
     hosts = rows.groupBy("host", "t1", "t2").agg(F.count(F.lit(1)).alias("x")).groupBy("host").agg(F.count(F.lit(1)).alias("documents"))
     common = rows.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
     common = common.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")))
-    common = common.where(F.col("n") > share * F.col("documents")).select("h", F.col("line").alias("l"))
-    return rows.join(common, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l"))).drop("h", "l")
+    return common.where(F.col("n") > share * F.col("documents")).select("h", F.col("line").alias("l"))
+
 
+def _common_of(df: DataFrame, text: str, host: str, least: int, share: float) -> DataFrame:
+    """Rows of ``text_lines`` that are common."""
+    rows = text_lines(df, text=text, host=host)
+    return rows.join(common_lines(rows, least, share), F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l"))).drop("h", "l")
 
-def removed_words(df: DataFrame, **options) -> DataFrame:
+
+def removed_words(df: DataFrame, *, text: str = "text", host: str = "source", least: int = LEAST_DOCUMENTS, share: float = SHARE) -> DataFrame:
     """host, t1, t2 and the words in common lines of each distinct text that has any."""
-    hits = common_lines(df, **options)
-    return hits.groupBy("host", "t1", "t2").agg(F.sum("words").alias("removed"))
+    return _common_of(df, text, host, least, share).groupBy("host", "t1", "t2").agg(F.sum("words").alias("removed"))
+
+
+def depleted_texts(df: DataFrame, *, text: str = "text", host: str = "source", least: int = LEAST_DOCUMENTS, share: float = SHARE, left: float = LEFT) -> DataFrame:
+    """host, t1, t2 of the texts of which too little is left; lines hold all words, so no text is read again."""
+    rows = text_lines(df, text=text, host=host)
+    marked = rows.join(common_lines(rows, least, share), F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")), "left")
+    sums = marked.groupBy("host", "t1", "t2").agg(F.sum("words").alias("words"), F.sum(F.when(F.col("l").isNotNull(), F.col("words"))).alias("removed"))
+    return cut_lineage(sums.where(F.col("words") - F.col("removed") < left * F.col("words")).select("host", "t1", "t2"))
 
 
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
@@ -158,14 +187,14 @@ def judge(df: DataFrame, *, text: str = "text", host: str = "source", least: int
 def clean(df: DataFrame, *, text: str = "text", host: str = "source", least: int = LEAST_DOCUMENTS, share: float = SHARE, left: float = LEFT) -> DataFrame:
     """Documents of ``df`` that are kept, with their columns and whole texts.
 
-    Texts that fail the base rules go before the join; only the keys of
-    depleted texts are matched.
+    Depleted texts are few as a rule. Up to ``BROADCAST_TEXTS`` of them are
+    broadcast, and no text is shuffled; beyond that the join is a shuffle.
     """
-    facts = packed(df).select("row", base_facts(field(text)).alias("facts")).where(~F.col("facts.base_failed"))
-    facts = facts.select("row", F.col("facts.n_words").alias("n_words"), *_key_of(field(host), field(text)))
-    removed = removed_words(df, text=text, host=host, least=least, share=share)
-    depleted = (F.col("n_words") - F.col("removed")) < left * F.col("n_words")
-    return facts.join(removed, _same_key() & depleted, "left_anti").select(*unpacked(df.columns))
+    gone = depleted_texts(df, text=text, host=host, least=least, share=share, left=left)
+    if gone.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS:
+        gone = F.broadcast(gone)
+    facts = packed(df).where(~base_failed(field(text))).select("row", *_key_of(field(host), field(text)))
+    return facts.join(gone, _same_key(), "left_anti").select(*unpacked(df.columns))
 
 
 def strip_common_lines(df: DataFrame, *, text: str = "text", host: str = "source", least: int = LEAST_DOCUMENTS, share: float = SHARE) -> DataFrame:
@@ -173,7 +202,7 @@ def strip_common_lines(df: DataFrame, *, text: str = "text", host: str = "source
 
     The hashes gathered for a text are at most its own lines.
     """
-    hits = common_lines(df, text=text, host=host, least=least, share=share).groupBy("host", "t1", "t2").agg(F.collect_set("line").alias("common"))
+    hits = _common_of(df, text, host, least, share).groupBy("host", "t1", "t2").agg(F.collect_set("line").alias("common"))
     joined = packed(df).select("row", *_key_of(field(host), field(text))).join(hits, _same_key(), "left")
     rest = F.array_join(F.filter(F.split(field(text), "\n"), lambda x: ~F.array_contains("common", F.xxhash64(normal_line(x)))), "\n")
     return joined.select(*[F.when(F.col("common").isNull(), field(c)).otherwise(rest).alias(c) if c == text else field(c).alias(c) for c in df.columns])
