@@ -97,6 +97,8 @@ def links(distinct: DataFrame, distance: int = 2, fp: str = "fp") -> DataFrame:
     if distance == 0:
         return spark.createDataFrame([], "a long, b long")
     order = Window.partitionBy("bit", "rest").orderBy(fp)
+    # each row becomes 64: the number of tasks is set, as rows this narrow would be dealt to few
+    distinct = distinct.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), fp)
     met = (
         distinct.select(fp, F.explode(_variants(fp, distance)).alias("k"))
         .select(fp, "k.bit", "k.rest")
