@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from strataquery.llm.common import col, cut_lineage, field, packed, unpacked, word_count
 
-#: Rows of a range of shuffle keys, or of a range of finish times, that one task orders.
-RANGE_ROWS = 8192
+#: Rows of a range of shuffle keys, and of a range of finish times.
+RANGE_ROWS, FINISH_ROWS = 8192, 1 << 20
 KEY_BITS = 60
 
 
@@ -99,7 +99,7 @@ def _first_beyond(items: DataFrame, budget: float, rows: int):
     """
     key = ("finish", "pos", "h")
     setting = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(setting, math.ceil(rows / (4 * RANGE_ROWS)))
+    parts = max(setting, math.ceil(rows / FINISH_ROWS))
     ordered = cut_lineage(items.repartitionByRange(parts, *key).sortWithinPartitions(*key).withColumn("range", F.spark_partition_id()))
     so_far = 0
     for part, words in sorted(ordered.groupBy("range").agg(F.sum("size")).collect()):
