@@ -38,7 +38,7 @@ LANGUAGES = {
 
 # Folders that are never indexed.
 EXCLUDED_FOLDERS = (
-    ".git", ".godot", ".venv", "venv", "node_modules", "dist", "build", ".next", ".pytest_cache",
+    ".git", ".strataquery", ".godot", ".venv", "venv", "node_modules", "dist", "build", ".next", ".pytest_cache",
     ".mypy_cache", ".ruff_cache", "__pycache__", "coverage", "htmlcov",
 )
 

@@ -114,14 +114,14 @@ def symbol_strings(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", text.last_segment(q).alias("tail"), text.owner(q).alias("owner"), text.strip_quotes(F.concat(F.lit(' "'), "p_name", F.lit('" '))).alias("unquoted"), text.without_part(kind).alias("kind"))
 
 
-@query(r"""
-SELECT doc_id, CASE WHEN n = 1 THEN strpos(text, ' that ') END AS place
-FROM (SELECT doc_id, text, len(regexp_extract_all(text, '\bthat\b')) AS n FROM documents WHERE regexp_matches(text, '^[\x00-\x7f]*$'))
-WHERE n <> 1 OR strpos(text, ' that ') > 0""")
+_NOT_NAME = "[^A-Za-z0-9_$]"
+
+
+@query(rf"""
+SELECT doc_id, CASE WHEN len(regexp_extract_all(' ' || regexp_replace(text, '({_NOT_NAME})', '\1\1', 'g') || ' ', '{_NOT_NAME}that{_NOT_NAME}')) = 1
+  THEN length(regexp_extract(text, '(?s)^((?:.*{_NOT_NAME})?)that(?:{_NOT_NAME}.*)?$', 1)) END AS place FROM documents""")
 def sole_identifier(t: Tables) -> DataFrame:
-    ascii_only = t.documents.where(F.col("text").rlike(r"^[\x00-\x7f]*$"))
-    n = F.regexp_count("text", F.lit(r"\bthat\b"))
-    return ascii_only.where((n != 1) | (F.instr("text", " that ") > 0)).select("doc_id", text.sole_position(F.col("text"), F.lit("that")).cast("long").alias("place"))
+    return t.documents.select("doc_id", text.sole_position(F.col("text"), F.lit("that")).cast("long").alias("place"))
 
 
 @query("SELECT doc_id, strlen(text) AS bytes, length(text) AS chars, CAST(length(text) - length(replace(text, chr(10), '')) AS BIGINT) AS newlines, CAST(length(left(text, 100)) - length(replace(left(text, 100), chr(10), '')) + 1 AS BIGINT) AS line FROM documents")

@@ -22,17 +22,17 @@ _SCOPE = "array_to_string(list_reverse(string_split(regexp_extract(url, '://([^/
 def _scopes(t: Tables) -> DataFrame:
     host = F.regexp_extract("url", "://([^/?#]*)", 1)
     language = F.regexp_extract("url", r"/(en|de|fr|es)/", 1)
-    return t.pages.select("page_id", F.array_join(F.reverse(F.split(host, r"\.")), ".").alias("scope"), language.alias("name"))
+    return t.pages.select("page_id", F.array_join(F.reverse(F.split(host, r"\.")), ".").alias("scope"), language.alias("name"), F.startswith("url", F.lit("https")).alias("secure"))
 
 
 @query(rf"""
-WITH p AS (SELECT page_id, {_SCOPE} AS scope, regexp_extract(url, '/(en|de|fr|es)/', 1) AS name FROM pages),
-d AS (SELECT DISTINCT name, s AS scope FROM (SELECT name, unnest([scope, regexp_replace(scope, '\.[^.]*$', ''), regexp_extract(scope, '^[^.]*')]) AS s FROM p WHERE page_id % 3 = 0)),
+WITH p AS (SELECT page_id, {_SCOPE} AS scope, regexp_extract(url, '/(en|de|fr|es)/', 1) AS name, starts_with(url, 'https') AS secure FROM pages),
+d AS (SELECT DISTINCT name, s AS scope FROM (SELECT name, unnest([scope, regexp_replace(scope, '\.[^.]*$', ''), regexp_extract(scope, '^[^.]*')]) AS s FROM p WHERE secure)),
 m AS (SELECT p.page_id, d.scope, len(string_split(d.scope, '.')) AS depth FROM p JOIN d ON p.name = d.name AND (p.scope = d.scope OR starts_with(p.scope, d.scope || '.')))
 SELECT page_id AS use_id, arg_max(scope, depth) AS declaration_id, CAST(max(depth) AS BIGINT) AS depth FROM m GROUP BY page_id""")
 def nearest_scope(t: Tables) -> DataFrame:
     uses = _scopes(t)
-    declared = uses.where("page_id % 3 = 0").select("name", F.explode(F.array("scope", F.regexp_replace("scope", r"\.[^.]*$", ""), F.regexp_extract("scope", r"^[^.]*", 0))).alias("scope")).distinct()
+    declared = uses.where("secure").select("name", F.explode(F.array("scope", F.regexp_replace("scope", r"\.[^.]*$", ""), F.regexp_extract("scope", r"^[^.]*", 0))).alias("scope")).distinct()
     found = graphs.nearest_scope(uses.select(F.col("page_id").alias("use_id"), F.lit("f").alias("file"), "name", "scope"), declared.select(F.lit("f").alias("file"), "name", "scope", F.col("scope").alias("declaration_id")))
     return found.withColumn("depth", F.col("depth").cast("long"))
 
