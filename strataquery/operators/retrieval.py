@@ -58,6 +58,26 @@ def bm25(chunks: DataFrame, key: str, text: str, query: Sequence[str], *, k1: fl
     return hits.select("key", total.alias("score"))
 
 
+def text_stats(chunks: DataFrame, text: str) -> DataFrame:
+    """One row: chunks and their mean length in terms; kept beside the postings."""
+    return chunks.select(F.size(terms_of(F.col(text))).alias("length")).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
+
+
+def bm25_from_postings(index: DataFrame, stats: DataFrame, query: Sequence[str], *, k1: float = K1, b: float = B) -> DataFrame:
+    """The scores of ``bm25`` from ``postings`` and ``text_stats``.
+
+    The term predicate reaches the scan, so a query over an index sorted by
+    term reads its own row groups only, whatever the corpus.
+    """
+    wanted = list(dict.fromkeys(query))
+    hits = index.where(F.col("term").isin(wanted))
+    spread = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weights = spread.join(F.broadcast(stats)).select("term", "mean", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # a row a term
+    scored = hits.join(F.broadcast(weights), "term")
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    return scored.groupBy("key").agg(F.sum(part).alias("score"))
+
+
 def vector_scores(vectors: DataFrame, key: str, vector: str, query: Sequence[float]) -> DataFrame:
     """key and cosine with one query vector."""
     return vectors.select(F.col(key).alias("key"), cosine(F.col(vector), F.array(*[F.lit(float(x)) for x in query])).alias("score"))

@@ -86,6 +86,13 @@ def fulltext_bm25(t: Tables) -> DataFrame:
     return retrieval.bm25(t.documents, "doc_id", "text", TERMS).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {_bm25_sql()} SELECT key AS doc_id, round(score, 6) AS score FROM text_scores")
+def fulltext_postings(t: Tables) -> DataFrame:
+    index = retrieval.postings(t.documents, "doc_id", "text")
+    scores = retrieval.bm25_from_postings(index, retrieval.text_stats(t.documents, "text"), TERMS)
+    return scores.select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 @query(r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS terms FROM documents),
 p AS (SELECT doc_id, CAST(len(terms) AS BIGINT) AS length, unnest(terms) AS term FROM d)
