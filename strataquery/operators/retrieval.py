@@ -19,9 +19,12 @@ from strataquery.functions.vectors import cosine
 K1, B, FUSION = 1.2, 0.75, 60
 
 
+_NOT_TERM = r"[^\p{L}\p{N}]+"
+
+
 def terms_of(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(text), _NOT_TERM), lambda t: t != "")
 
 
 def postings(chunks: DataFrame, key: str, text: str) -> DataFrame:
@@ -46,10 +49,14 @@ def bm25(chunks: DataFrame, key: str, text: str, query: Sequence[str], *, k1: fl
     corpus size and mean length come from the same pass over the chunks.
     """
     wanted = list(dict.fromkeys(query))
-    rows = chunks.select(F.col(key).alias("key"), terms_of(F.col(text)).alias("terms"))
-    rows = rows.select("key", F.size("terms").alias("length"), *[F.size(F.filter("terms", _equals(w))).alias(f"tf{i}") for i, w in enumerate(wanted)])
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
-    hits = rows.where(" or ".join(f"tf{i} > 0" for i in range(len(wanted))) or "false").join(F.broadcast(stats))  # one row
+    parts = chunks.select(F.col(key).alias("key"), F.split(F.lower(F.col(text)), _NOT_TERM).alias("parts"))
+    # a cut leaves an empty part at either end at most; one walk over the parts keeps the query's terms
+    length = F.size("parts") - (F.get("parts", F.lit(0)) == "").cast("int") - ((F.size("parts") > 1) & (F.element_at("parts", -1) == "")).cast("int")
+    rows = parts.select("key", length.alias("length"), F.filter("parts", lambda t: t.isin(wanted)).alias("found"))
+    counts = [F.size(F.filter("found", _equals(w))).alias(f"tf{i}") for i, w in enumerate(wanted)]
+    stats = rows.select("length", *counts).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
+    # one predicate over one column: pushed below the projection it repeats the walk once, not once a term
+    hits = rows.where(F.size("found") > 0).select("key", "length", *counts).join(F.broadcast(stats))  # one row
     total = F.lit(0.0)
     for i in range(len(wanted)):
         tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
