@@ -19,10 +19,17 @@ from pyspark.sql import functions as F
 
 from strataquery.llm import bpe, line_quality, mixing, qda_quality, simhash
 
+#: A line is common if more than this many texts and more than this share of its source's texts have it.
+COMMON_DOCUMENTS = 10
+COMMON_SHARE = 0.02
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and aren't depleted of lines of their own (operator 4)."""
-    return line_quality.clean(docs)
+    """Documents that pass the base rules and aren't depleted of lines of their own (operator 4).
+
+    The limits are lower than those of the query, whose SQL fixes them: at 20% no line of the given tables is common.
+    """
+    return line_quality.clean(docs, least=COMMON_DOCUMENTS, share=COMMON_SHARE)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
