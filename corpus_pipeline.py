@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataquery.llm import bpe, line_quality, mixing, qda_quality, simhash
+from strataquery.llm import bpe, line_quality, mixing, near_copies, qda_quality
 
 #: A line is common if more than this many texts and more than this share of its source's texts have it.
 COMMON_DOCUMENTS = 10
@@ -39,8 +39,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id (operator 6)."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies by five-word shingles, the one with the smallest id (operator 6)."""
+    return near_copies.keep_one(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -178,6 +178,11 @@ def keep_one(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id", dista
     marked, named = _classes(df, text, doc_id, distance, 3, 42)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("first")
     best = marked.groupBy("fp").agg(first).join(named, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    return only(df, best, text, doc_id)
+
+
+def only(df: DataFrame, best: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """One row of ``df`` for each id and text hash in the struct ``first`` of ``best``."""
     best = best.select(F.col("first.doc_id").alias("best_id"), F.col("first.text_hash").alias("best_hash"))
     hashed = packed(df).select("row", field(doc_id).alias("id"), F.xxhash64(field(text)).alias("text_hash"))
     kept = hashed.join(best, F.col("id").eqNullSafe(F.col("best_id")) & (F.col("text_hash") == F.col("best_hash")), "left_semi")
