@@ -12,8 +12,8 @@ it covers. A host that no link reaches is allowed.
 Links are the absolute and protocol-relative addresses in href and src
 attributes of the page, between different hosts; a link counts once for each
 page that has it. All sums are of whole numbers (the mass is ``MASS`` grains),
-so the order of additions doesn't matter and reruns agree. Steps are a fixed
-number. Only built-in expressions are used; the graph's rows are host pairs.
+so the order of additions doesn't matter and reruns agree. Steps go on until
+what is still to move is less than ``SETTLED`` of an even share. Only built-in expressions are used; the graph's rows are host pairs.
 
 Rules are a driver-side list, so a bounded parameter. A rule fits its host and
 all its subdomains if the path starts with the rule's; the longest fitting
@@ -27,6 +27,7 @@ Other columns pass through if the caller keeps them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -37,9 +38,11 @@ from strataquery.llm.common import col, cut_lineage, lower_ascii
 Rule = tuple[str, str]  # ("allow" or "block", host and path as in "example.com/en/")
 
 MASS = 1 << 40
+#: Steps of the SQL that checks the query; the operator itself goes on until the mass settles.
 STEPS = 10
 FOLLOW = 0.85
 THRESHOLD = 1.0
+SETTLED = 0.001
 
 
 def host_of(url: Column) -> Column:
@@ -69,12 +72,17 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return linked.where("a != b and a != ''").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, follow: float = FOLLOW) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, steps: int | None = None, follow: float = FOLLOW, within: float = 1.0) -> DataFrame:
     """host, the grains that reached it over edges (a, b, n) from seeds (host, n), and its mass in all.
 
     Personalised PageRank: of a host's mass the share ``follow`` goes on along
     its edges by weight, the rest and what rounding or dead ends lose returns
     to the seeds; that returned mass is only in the last column.
+
+    Without ``steps`` it goes on until all hosts together are less than
+    ``within`` grains from the limit, but for rounding. A step shrinks the
+    distance from the limit to ``follow`` of it or less, which also bounds the
+    number of steps. One aggregate a step reaches the driver.
     """
     out = edges.groupBy("a").agg(F.sum("n").alias("all"))
     steps_of = cut_lineage(edges.join(out, "a").select("a", "b", (F.col("n") / F.col("all")).alias("share")))
@@ -83,28 +91,35 @@ def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, follow: fl
         return seeds.select("host", F.lit(0.0).alias("reached"), F.lit(0.0).alias("mass")).limit(0)
     start = cut_lineage(seeds.select("host", F.floor(F.lit(float(MASS)) * F.col("n") / F.lit(float(total))).cast("double").alias("seed")))
     mass = start.select("host", F.col("seed").alias("mass"))
-    reached = None
-    for _ in range(steps):
+    reached = start.select("host", F.lit(0.0).alias("reached")).limit(0)
+    most = steps if steps is not None else max(1, math.ceil(math.log(within / (2 * MASS)) / math.log(follow)))
+    for _ in range(most):
         moved = steps_of.join(mass, F.col("a") == F.col("host")).groupBy("b").agg(F.sum(F.floor(F.col("mass") * F.col("share") * F.lit(follow)).cast("double")).alias("reached"))
-        reached = cut_lineage(moved.select(F.col("b").alias("host"), "reached"))
-        held = reached.agg(F.coalesce(F.sum("reached"), F.lit(0.0))).first()[0]
+        both = moved.select(F.col("b").alias("host"), "reached", F.lit(0.0).alias("was")).unionByName(reached.select("host", F.lit(0.0).alias("reached"), F.col("reached").alias("was")))
+        now = cut_lineage(both.groupBy("host").agg(F.sum("reached").alias("reached"), F.sum("was").alias("was")))
+        held, change = now.agg(F.coalesce(F.sum("reached"), F.lit(0.0)), F.coalesce(F.sum(F.abs(F.col("reached") - F.col("was"))), F.lit(0.0))).first()
+        reached = now.select("host", "reached")
         back = (MASS - held) / MASS
         seeded = start.select("host", F.floor(F.col("seed") * F.lit(back)).cast("double").alias("mass"))
         both = seeded.withColumn("reached", F.lit(0.0)).unionByName(reached.withColumn("mass", F.col("reached")))
         mass = both.groupBy("host").agg(F.sum("mass").alias("mass"), F.sum("reached").alias("reached"))
+        # the mass changed by twice this at most: once where it reached, once in what returns
+        if steps is None and 2 * change * follow / (1 - follow) <= within:
+            break
     return mass.where("reached > 0 or mass > 0")
 
 
-def host_verdicts(pages: DataFrame, rules: Sequence[Rule], *, url: str = "url", html: str = "html", steps: int = STEPS, threshold: float = THRESHOLD, edges: DataFrame | None = None) -> DataFrame:
+def host_verdicts(pages: DataFrame, rules: Sequence[Rule], *, url: str = "url", html: str = "html", steps: int | None = None, threshold: float = THRESHOLD, edges: DataFrame | None = None) -> DataFrame:
     """host, trust and distrust for each host that the method blocks."""
     host, path = host_of(col(url)), path_of(col(url))
     known = pages.select(host.alias("host"), rule_of(host, path, rules)[1].alias("verdict")).groupBy("host").agg(F.count_if(F.col("verdict") == "allow").alias("good"), F.count_if(F.col("verdict") == "block").alias("bad"))
     known = cut_lineage(known.where("host != ''"))
     edges = cut_lineage(host_edges(pages, url, html) if edges is None else edges)
-    trust = propagate(edges, known.where("good > 0").select("host", F.col("good").alias("n")), steps).select("host", F.col("mass").alias("trust"))
-    against = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "n")
-    distrust = propagate(against, known.where("bad > 0").select("host", F.col("bad").alias("n")), steps).select("host", F.col("reached").alias("distrust"))
     even = MASS / max(1, known.count())
+    within = SETTLED * even
+    trust = propagate(edges, known.where("good > 0").select("host", F.col("good").alias("n")), steps, within=within).select("host", F.col("mass").alias("trust"))
+    against = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "n")
+    distrust = propagate(against, known.where("bad > 0").select("host", F.col("bad").alias("n")), steps, within=within).select("host", F.col("reached").alias("distrust"))
     judged = distrust.join(trust, "host", "left").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), "distrust")
     return judged.where((F.col("distrust") > F.col("trust")) & (F.col("distrust") > F.lit(threshold * even)))
 
