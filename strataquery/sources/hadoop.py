@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -33,6 +34,10 @@ class Folder:
     def size(self, name: str) -> int:
         return self._fs.getContentSummary(self._path(name)).getLength() if self.exists(name) else 0
 
+    def changed(self, name: str) -> int:
+        """When the file or folder was last written, in milliseconds."""
+        return self._fs.getFileStatus(self._path(name)).getModificationTime()
+
     def delete(self, name: str) -> bool:
         return self._fs.delete(self._path(name), True)
 
@@ -46,6 +51,30 @@ class Folder:
         finally:
             stream.close()
 
+    def create_json(self, name: str, value) -> bool:
+        """Write a new document; false if there is one already. Of several callers only one gets true."""
+        try:
+            stream = self._fs.create(self._path(name), False)
+        except Py4JJavaError:
+            if self.exists(name):
+                return False
+            raise
+        try:
+            stream.write(bytearray(json.dumps(value, sort_keys=True).encode()))
+            stream.hsync()
+        finally:
+            stream.close()
+        return True
+
+    def rename(self, name: str, to: str) -> bool:
+        """False if there is nothing to rename."""
+        try:
+            return self._fs.rename(self._path(name), self._path(to))
+        except Py4JJavaError:
+            if not self.exists(name):
+                return False
+            raise
+
     def write_json(self, name: str, value) -> None:
         """Replace the document at once: readers see the old or the new one."""
         part = f"{name}.part"

@@ -5,10 +5,14 @@ ids of replaced and removed files to a delete set; both are immutable. One
 manifest names the segments and delete sets of every retained version and the
 live version; replacing that small document is the only commit point. A reader
 resolves it once and has a snapshot. A commit writes what changed, whatever
-the table's size; ``compact`` folds segments and deletes into one segment.
-
-Two writers of one partition must be serialised by the caller; a lock document
-tells a second writer that the partition is busy.
+the table's size, and then folds its newest segments once there are many of
+them that are small beside those before; ``compact`` folds segments and
+deletes into one segment.
+
+A writer holds the lock document, which only one can create and which it
+renews; besides, a commit fails if the manifest is no longer the one that it
+started from. The journal of a commit goes away with its success only, so
+``recover`` finds what a failed or dead writer left.
 """
 
 from __future__ import annotations
@@ -25,8 +29,12 @@ from strataquery.sources.hadoop import Folder
 FILES = "file_id string, project_id string, path string, language string, size long, mtime_ns long, content_hash string, has_errors boolean, error string, indexed_at long"
 CHUNKS = (
     "chunk_id string, file_id string, path string, language string, kind string, symbol string, qualified_symbol string, parent_symbol string, start_byte long, end_byte long, "
-    "start_line int, end_line int, content string, identifier_terms string, content_hash string, part_index int, vector array<float>"
+    "start_line int, end_line int, content string, identifier_terms string, content_hash string, part_index int, vector array<float>, content_length int, identifier_length int"
 )
+#: The text index: a row a distinct term of a chunk's content or identifier terms.
+POSTINGS = "file_id string, chunk_id string, field string, term string, tf int, length int"
+#: Tables that are sorted otherwise than by path.
+SORTED = {"postings": ("term", "chunk_id")}
 
 
 def _references() -> str:
@@ -35,14 +43,17 @@ def _references() -> str:
     return SCHEMA
 
 
-TABLES = {"files": FILES, "chunks": CHUNKS, "references": _references()}
+TABLES = {"files": FILES, "chunks": CHUNKS, "references": _references(), "postings": POSTINGS}
 #: Seconds after which the lock of a writer that died may be taken over.
 LOCK_SECONDS = 3600
+#: Segments of a table beyond which its newest ones are folded, and how many times larger than all behind it a segment has to be to stay.
+SEGMENTS, TIER = 12, 4
 
 
 class PartitionStore:
     def __init__(self, spark: SparkSession, root: str, tables: dict[str, str] | None = None, parent: str = "file_id"):
         self.spark, self.folder, self.tables, self.parent = spark, Folder(spark, root), tables or TABLES, parent
+        self._token: str | None = None
 
     # -- manifest ---------------------------------------------------------
 
@@ -68,11 +79,12 @@ class PartitionStore:
         state = manifest["versions"].get(str(manifest["live"] if version is None else version))
         if state is None:
             raise EngineError("STALE_CURSOR", f"version {version} is no longer kept", version=version)
-        layers = state["tables"][table]
+        return self._rows(table, state["tables"][table])
+
+    def _rows(self, table: str, layers: dict) -> DataFrame:
         schema = self.tables[table]
-        rows = self.spark.createDataFrame([], schema)
         if not layers["segments"]:
-            return rows
+            return self.spark.createDataFrame([], schema)
         parts = [self._segment(p, schema).withColumn("_seq", F.lit(s)) for s, p in layers["segments"]]
         rows = parts[0]
         for part in parts[1:]:
@@ -104,39 +116,72 @@ class PartitionStore:
         manifest = self._manifest()
         number = manifest["next"]
         base = f"segments/{number:08d}-{uuid.uuid4().hex[:8]}"
-        note = {"phase": "committing", "version": manifest["live"], "base": base, "attempts": 0}
+        note = {"phase": "committing", "version": manifest["live"], "number": number, "base": base, "attempts": 0}
         self.folder.write_json(f"journals/{journal or number}.json", note)
-        try:
-            gone = [d.select(self.parent) for d in (replaced, removed) if d is not None]
-            deletes = None
-            if gone:
-                ids = gone[0]
-                for d in gone[1:]:
-                    ids = ids.unionByName(d)
-                deletes = self._written(ids.distinct(), f"{base}/deletes", f"{self.parent} string")
-            state = {t: {k: list(map(list, v)) for k, v in layers.items()} for t, layers in manifest["versions"][str(manifest["live"])]["tables"].items()}
-            changed = deletes is not None
-            for table, schema in self.tables.items():
-                if deletes:
-                    state[table]["deletes"].append([number, deletes])
-                if only and table in only:
-                    own = self._written(only[table].select(self.parent).distinct(), f"{base}/deletes-{table}", f"{self.parent} string")
-                    if own:
-                        state[table]["deletes"].append([number, own])
-                        changed = True
-                if table in rows:
-                    columns = self.spark.createDataFrame([], schema).columns
-                    if path := self._written(rows[table].select(*columns), f"{base}/{table}", schema):
-                        state[table]["segments"].append([number, path])
-                        changed = True
-            if changed:
-                manifest["versions"][str(number)] = {"created": time.time(), "tables": state}
-                manifest["live"], manifest["next"] = number, number + 1
-                self.folder.write_json("manifest.json", manifest)
-        finally:
-            self.folder.delete(f"journals/{journal or number}.json")
+        gone = [d.select(self.parent) for d in (replaced, removed) if d is not None]
+        deletes = None
+        if gone:
+            ids = gone[0]
+            for d in gone[1:]:
+                ids = ids.unionByName(d)
+            deletes = self._written(ids.distinct(), f"{base}/deletes", f"{self.parent} string")
+        empty = {"segments": [], "deletes": []}
+        before = manifest["versions"][str(manifest["live"])]["tables"]
+        state = {t: {k: list(map(list, v)) for k, v in before.get(t, empty).items()} for t in self.tables}
+        changed = deletes is not None
+        for table, schema in self.tables.items():
+            if deletes:
+                state[table]["deletes"].append([number, deletes])
+            if only and table in only:
+                own = self._written(only[table].select(self.parent).distinct(), f"{base}/deletes-{table}", f"{self.parent} string")
+                if own:
+                    state[table]["deletes"].append([number, own])
+                    changed = True
+            if table in rows:
+                columns = self.spark.createDataFrame([], schema).columns
+                if path := self._written(self._ordered(table, rows[table].select(*columns)), f"{base}/{table}", schema):
+                    state[table]["segments"].append([number, path])
+                    changed = True
+        if changed:
+            for table in self.tables:
+                self._fold(table, state[table], number, base)
+            self._publish(manifest, number, state)
+        self.folder.delete(f"journals/{journal or number}.json")
         return manifest["live"]
 
+    def _publish(self, manifest: dict, number: int, state: dict) -> None:
+        """Replace the manifest, unless another writer has replaced it since it was read."""
+        self.renew()
+        now = self._manifest()
+        if (now["next"], now["live"]) != (manifest["next"], manifest["live"]):
+            raise EngineError("INDEX_BUSY", "another writer has published a version in the meantime")
+        manifest["versions"][str(number)] = {"created": time.time(), "tables": state}
+        manifest["live"], manifest["next"] = number, number + 1
+        self.folder.write_json("manifest.json", manifest)
+
+    def _ordered(self, table: str, rows: DataFrame) -> DataFrame:
+        order = SORTED.get(table)
+        return rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
+
+    def _fold(self, table: str, layers: dict, number: int, base: str) -> None:
+        """Fold the newest segments of a table into one, less the rows that are deleted already.
+
+        A segment stays apart if it is ``TIER`` times as large as all newer
+        ones, so a row is written again a number of times that grows with the
+        logarithm of the table.
+        """
+        segments = layers["segments"]
+        if len(segments) <= SEGMENTS:
+            return
+        first, behind = len(segments) - 1, self.folder.size(segments[-1][1])
+        while first and (size := self.folder.size(segments[first - 1][1])) < TIER * behind:
+            first, behind = first - 1, behind + size
+        own = self._rows(table, {"segments": segments[first:], "deletes": layers["deletes"]})
+        path = self._written(self._ordered(table, own), f"{base}/{table}-folded", self.tables[table])
+        layers["segments"] = segments[:first] + ([[number, path]] if path else [])
+        if not first:
+            layers["deletes"] = []
+
     def _written(self, rows: DataFrame, path: str, schema: str) -> str | None:
         """Write rows to a new folder; None (and no folder) if there are none."""
         rows.write.parquet(self.folder.at(path))
@@ -172,24 +217,45 @@ class PartitionStore:
                 continue
             note = self.folder.read_json(f"journals/{name}")
             if note.get("phase") == "committing":
-                if note["version"] and not self.restore(note["version"]):
-                    note["attempts"] += 1
-                    self.folder.write_json(f"journals/{name}", note)
-                    if note["attempts"] < most_attempts:
-                        continue
-                self.folder.delete(note["base"])
+                if str(note.get("number")) not in self._manifest()["versions"]:  # else it was published, and only the journal is left
+                    if note["version"] and not self.restore(note["version"]):
+                        note["attempts"] += 1
+                        self.folder.write_json(f"journals/{name}", note)
+                        if note["attempts"] < most_attempts:
+                            continue
+                    self.folder.delete(note["base"])
             self.folder.delete(f"journals/{name}")
             handled += 1
         return handled
 
     def lock(self) -> None:
+        """Become the only writer. The lock of a writer that hasn't renewed it for ``LOCK_SECONDS`` is put aside, which only one can do."""
+        token = uuid.uuid4().hex
+        document = {"at": time.time(), "token": token}
+        if not self.folder.create_json("lock.json", document):
+            held = self.folder.read_json("lock.json")
+            aside = f"lock-{held['token'] if held else 'unknown'}.json"
+            if not held or time.time() - held["at"] < LOCK_SECONDS or not self.folder.rename("lock.json", aside):
+                raise EngineError("INDEX_BUSY", "another job writes to this partition")
+            if not self.folder.create_json("lock.json", document):
+                raise EngineError("INDEX_BUSY", "another job writes to this partition")
+            self.folder.delete(aside)
+        self._token = token
+
+    def renew(self) -> None:
+        """Say that this writer lives; an error if its lock was taken over. Nothing without a lock."""
+        if self._token is None:
+            return
         held = self.folder.read_json("lock.json")
-        if held and time.time() - held["at"] < LOCK_SECONDS:
-            raise EngineError("INDEX_BUSY", "another job writes to this partition")
-        self.folder.write_json("lock.json", {"at": time.time()})
+        if not held or held.get("token") != self._token:
+            raise EngineError("INDEX_BUSY", "the lock was taken over by another writer")
+        self.folder.write_json("lock.json", {"at": time.time(), "token": self._token})
 
     def unlock(self) -> None:
-        self.folder.delete("lock.json")
+        held = self.folder.read_json("lock.json")
+        if held and held.get("token") == self._token:
+            self.folder.delete("lock.json")
+        self._token = None
 
     # -- maintenance ------------------------------------------------------
 
@@ -200,12 +266,10 @@ class PartitionStore:
         state = {}
         for table, schema in self.tables.items():
             rows = self.read(table)
-            order = [c for c in ("path", "start_line", self.parent) if c in rows.columns]
+            order = SORTED.get(table) or [c for c in ("path", "start_line", self.parent) if c in rows.columns]
             path = self._written(rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows, f"segments/{number:08d}-{uuid.uuid4().hex[:8]}/{table}", schema)
             state[table] = {"segments": [[number, path]] if path else [], "deletes": []}
-        manifest["versions"][str(number)] = {"created": time.time(), "tables": state}
-        manifest["live"], manifest["next"] = number, number + 1
-        self.folder.write_json("manifest.json", manifest)
+        self._publish(manifest, number, state)
         return number
 
     def vacuum(self, keep_hours: float = 168, now: float | None = None) -> int:

@@ -63,7 +63,45 @@ def test_a_failed_commit_leaves_the_old_version(spark, store):
     store.commit({"chunks": chunks(spark, ("a", "1"))})
     with pytest.raises(Exception):
         store.commit({"chunks": chunks(spark, ("a", "2"))}, replaced=ids(spark, "a").selectExpr("raise_error('x') as file_id"))
-    assert content(store) == [("a", "1")] and store.version == 1 and not store.pending()
+    assert content(store) == [("a", "1")] and store.version == 1
+    assert store.pending() and store.recover() == 1 and len(store.folder.names("segments")) == 1
+    assert content(store) == [("a", "1")] and not store.pending()
+
+
+def test_a_published_commit_is_not_undone(spark, store):
+    store.commit({"chunks": chunks(spark, ("a", "1"))})
+    store.commit({"chunks": chunks(spark, ("b", "2"))})
+    base = store._manifest()["versions"]["2"]["tables"]["chunks"]["segments"][-1][1].rpartition("/")[0]
+    store.folder.write_json("journals/2.json", {"phase": "committing", "version": 1, "number": 2, "base": base, "attempts": 0})
+    assert store.recover() == 1 and content(store) == [("a", "1"), ("b", "2")]
+
+
+def test_a_commit_fails_if_another_was_published(spark, store, tmp_path):
+    store.commit({"chunks": chunks(spark, ("a", "1"))})
+    other, real = PartitionStore(spark, str(tmp_path / "partition"), TABLES), store._written
+
+    def late(*args):
+        store._written = real
+        other.commit({"chunks": chunks(spark, ("b", "2"))})
+        return real(*args)
+
+    store._written = late
+    with pytest.raises(EngineError) as error:
+        store.commit({"chunks": chunks(spark, ("c", "3"))})
+    assert error.value.code == "INDEX_BUSY" and content(store) == [("a", "1"), ("b", "2")]
+
+
+def test_many_commits_are_folded(spark, store, monkeypatch):
+    from strataquery.sources import store as module
+
+    monkeypatch.setattr(module, "SEGMENTS", 3)
+    want = {}
+    for i in range(9):
+        one = str(i % 4)
+        want[one] = str(i)
+        store.commit({"chunks": chunks(spark, (one, str(i)))}, replaced=ids(spark, one))
+        assert content(store) == sorted(want.items()) and store.stats()["tables"]["chunks"]["segments"] <= 4
+    assert content(store, 2) == [("0", "0"), ("1", "1")]
 
 
 def test_restore_is_idempotent_and_time_travel_works(spark, store):
@@ -114,6 +152,25 @@ def test_one_writer_at_a_time(store):
     store.lock()
 
 
+def test_a_dead_writers_lock_is_taken_over_once(spark, store, tmp_path, monkeypatch):
+    import time
+
+    from strataquery.sources import store as module
+
+    store.lock()
+    other = PartitionStore(spark, str(tmp_path / "partition"), TABLES)
+    monkeypatch.setattr(module, "LOCK_SECONDS", 0.2)
+    store.renew()
+    with pytest.raises(EngineError):
+        other.lock()
+    time.sleep(0.3)
+    other.lock()
+    with pytest.raises(EngineError):
+        store.commit({"chunks": chunks(spark, ("a", "1"))})  # its lock is gone
+    store.unlock()
+    assert store.folder.exists("lock.json") and other.commit({"chunks": chunks(spark, ("b", "2"))}) == 1
+
+
 def test_versions_do_not_grow_with_files(spark, store):
     store.commit({"files": files(spark, *map(str, range(500)))})
     assert store.versions() == [0, 1]
