@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from strataquery.errors import EngineError
 from strataquery.functions import paths, text, vectors
-from strataquery.operators import changes, paging, references, retrieval, windows
+from strataquery.operators import changes, paging, references, retrieval, textindex, windows
 from strataquery.settings import Settings
 from strataquery.sources import extract, files, history, project
 from strataquery.sources.hadoop import Folder
@@ -29,7 +29,7 @@ from strataquery.sources.progress import Progress
 from strataquery.sources.store import PartitionStore
 
 #: Schema generation of the stored tables.
-SCHEMA_VERSION = 5
+SCHEMA_VERSION = 6
 #: Seconds for which a clean answer to "is the index fresh" holds.
 FRESH_SECONDS = 5
 
@@ -211,7 +211,7 @@ class Engine:
             chunk_rows = extract.chunk_rows(parsed, slot, self.embedder.passages)
             if self.settings.vector_storage == "float16":
                 chunk_rows = chunk_rows.withColumn("vector", vectors.half_precision(F.col("vector")))
-            rows = {"files": fresh.unionByName(again.select(*fresh.columns)), "chunks": chunk_rows, "references": extract.reference_rows(parsed)}
+            rows = {"files": fresh.unionByName(again.select(*fresh.columns)), "chunks": chunk_rows, "references": extract.reference_rows(parsed), "postings": extract.posting_rows(chunk_rows)}
             version = store.commit(rows, replaced=parsed.select("file_id"), removed=gone.select("file_id"), only={"files": again.select("file_id")})
             done = parsed.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("error").isNotNull()).alias("bad"), F.coalesce(F.sum(F.size("chunks")), F.lit(0)).alias("chunks"), F.coalesce(F.sum(F.size("rows")), F.lit(0)).alias("rows")).first()
             skipped = changes.skip_report(scanned.where("status != 'candidate'").select(F.col("status").alias("reason"), "path")).collect()
@@ -411,7 +411,7 @@ class Engine:
         if paths_like:
             chunks = chunks.where(paths.path_matches(F.col("path"), list(paths_like)))
         words = [w.lower() for w in re.findall(r"[^\W_]+", query)] or [query.lower()]
-        texts = retrieval.bm25(chunks, "chunk_id", "content", words).unionByName(retrieval.bm25(chunks, "chunk_id", "identifier_terms", words)).groupBy("key").agg(F.sum("score").alias("score"))
+        texts = self._keywords(owns, chunks, words, bool(languages or paths_like or kinds))
         near = retrieval.vector_scores(chunks, "chunk_id", "vector", self.embedder.query(query)).where(F.col("score").isNotNull())
         fetch = retrieval.fetch_size(limit)
 
@@ -427,6 +427,19 @@ class Engine:
         hits = retrieval.dedupe_hits(hits, limit=limit)
         return [r.asDict() for r in self._shown(hits).collect()]
 
+    def _keywords(self, owns: Sequence[project.Project], chunks: DataFrame, words: Sequence[str], filtered: bool) -> DataFrame:
+        """key and BM25 over both text fields, from the postings of the query's terms and two narrow columns of the chunks."""
+        parts = [self._partition(p).read("postings").where(F.col("term").isin(list(words))) for p in owns]
+        hits = parts[0]
+        for part in parts[1:]:
+            hits = hits.unionByName(part)
+        hits = hits.withColumnRenamed("chunk_id", "key")
+        if filtered:
+            hits = hits.join(chunks.select(F.col("chunk_id").alias("key")), "key", "left_semi")
+        n, *means = chunks.agg(F.count(F.lit(1)), *[F.coalesce(F.avg(f"{f}_length"), F.lit(0.0)) for f in ("content", "identifier")]).first()
+        both = [textindex.scored(hits.where(F.col("field") == f), n, mean, ["key"]) for f, mean in zip(("content", "identifier"), means)]
+        return both[0].unionByName(both[1]).groupBy("key").agg(F.sum("score").alias("score"))
+
     def _shown(self, hits: DataFrame) -> DataFrame:
         named = retrieval.with_snippet(retrieval.with_names(hits, self._names()))
         score = F.col("score") if "score" in hits.columns else F.lit(1.0)
@@ -552,7 +565,7 @@ class Engine:
         declared = rows.where((F.col("record_kind") == "declaration") & (F.col("target_name") == selected.qualified_symbol) & (F.col("path") == selected.path))
         extra = declared.withColumn("bucket", F.lit("declaration"))
         if selected.kind == "method":
-            extra = extra.unionByName(references.overrides(rows, selected).drop("class").withColumn("bucket", F.lit("override")))
+            extra = extra.unionByName(references.overrides(rows, store.read("files", version).select("path"), selected).withColumn("bucket", F.lit("override")))
         extra = extra.withColumns({"resolution": F.lit("exact"), "reason": F.lit("declaration"), "edit_start": F.col("start_byte"), "edit_end": F.col("end_byte")})
         findings = windows.dedupe_edits(found.select(*columns).unionByName(extra.select(*columns)), span=("path", "edit_start", "edit_end"), precedence=(*windows.PRECEDENCE, "review", "evidence")).persist()
         counts = {r["bucket"]: r["findings"] for r in references.bucket_counts(findings).collect()}

@@ -2,39 +2,40 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataquery.shared import cut_lineage
+
 
-def _cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+#: Hops after which the nodes seen are written as one table.
+FOLD = 8
 
 
-def reach(starts: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """start, node and the fewest hops (1 to ``hops``) from each start along edges (src, dst).
+def reach(starts: DataFrame, edges: DataFrame, hops: int | None = None) -> DataFrame:
+    """start, node and the fewest hops from each start along edges (src, dst); ``hops`` at most, or as many as there are.
 
-    One join a hop; a node is followed only from the hop that first found it.
-    ``starts`` has start (and, if it differs, node).
+    One join a hop; a node is followed only from the hop that first found it,
+    so cycles end. ``starts`` has start (and, if it differs, node). What was
+    seen is written anew once its plan has gathered ``FOLD`` hops.
     """
     frontier = starts.select("start", (F.col("node") if "node" in starts.columns else F.col("start")).alias("node")).distinct()
-    seen = frontier.withColumn("hops", F.lit(0))
-    for hop in range(1, hops + 1):
+    seen, hop = frontier.withColumn("hops", F.lit(0)), 0
+    while hops is None or hop < hops:
+        hop += 1
         found = frontier.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        frontier = _cut(found.join(seen, ["start", "node"], "left_anti"))
+        frontier = cut_lineage(found.join(seen, ["start", "node"], "left_anti"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier.withColumn("hops", F.lit(hop)))
+        if hop % FOLD == 0:
+            seen = cut_lineage(seen)
     return seen.where("hops > 0")
 
 
-def closure(starts: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
-    """All nodes below each start, however deep; cycles end because a node is followed once."""
-    return reach(starts, edges, most)
+def closure(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """All nodes below each start, however deep."""
+    return reach(starts, edges)
 
 
 def nearest_scope(uses: DataFrame, declarations: DataFrame) -> DataFrame:

@@ -9,23 +9,33 @@ from pyspark.sql import functions as F
 
 from strataquery.functions.scalars import gate
 from strataquery.functions.vectors import cosine
+from strataquery.operators.ranges import ahead
 
 
 def duration_summary(samples: DataFrame, group: str, duration: str, order: str) -> DataFrame:
-    """count, total, min, median, nearest-rank p95, max and the means of the first and last tenth in order."""
-    numbered = samples.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(order))).withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy(group)))
-    tenth = F.greatest(F.lit(1), F.floor(F.col("_all") / 10))
-    d = F.col(duration)
-    return numbered.groupBy(group).agg(
-        F.count(F.lit(1)).alias("count"),
-        F.round(F.sum(d), 3).alias("total_ms"),
-        F.round(F.min(d), 3).alias("min_ms"),
-        F.round(F.median(d), 3).alias("median_ms"),
-        F.round(F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {duration})"), 3).alias("p95_ms"),
-        F.round(F.max(d), 3).alias("max_ms"),
-        F.round(F.avg(F.when(F.col("_n") <= tenth, d)), 3).alias("first_decile_mean_ms"),
-        F.round(F.avg(F.when(F.col("_n") > F.col("_all") - tenth, d)), 3).alias("last_decile_mean_ms"),
-    )
+    """count, total, min, median, nearest-rank p95, max and the means of the first and last tenth in order.
+
+    Order statistics come from positions over ranges, so a group with most of
+    the samples is spread like any other.
+    """
+    rows = samples.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(duration).alias("d"))
+    whole = rows.groupBy("g").agg(F.count(F.lit(1)).alias("count"), F.sum("d").alias("total"), F.min("d").alias("least"), F.max("d").alias("most")).withColumnRenamed("g", "k")
+    same = F.col("g").eqNullSafe(F.col("k"))
+    tenth = F.greatest(F.lit(1), F.floor(F.col("count") / 10))
+    placed = ahead(rows, "g", ["o"]).join(whole.select("k", "count"), same)
+    ends = placed.groupBy("g").agg(F.avg(F.when(F.col("ahead") < tenth, F.col("d"))).alias("first"), F.avg(F.when(F.col("ahead") >= F.col("count") - tenth, F.col("d"))).alias("last"))
+    # equal durations are one row with a count
+    values = ahead(rows.where("d is not null").groupBy("g", "d").agg(F.count(F.lit(1)).alias("n")), "g", ["d"], weight="n")
+    known = values.groupBy("g").agg(F.sum("n").alias("known")).withColumnRenamed("g", "k")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("ahead") <= rank) & (rank < F.col("ahead") + F.col("n")), F.col("d")))
+
+    n = F.col("known")
+    ranks = values.join(known, same).groupBy("g").agg(at(F.floor((n - 1) / 2)).alias("low"), at(F.floor(n / 2)).alias("high"), at(F.expr("div(95 * known + 99, 100L)") - 1).alias("p95"))
+    out = whole.join(ends, same, "left").drop("g").join(ranks, same, "left").drop("g")
+    figures = {"total_ms": F.col("total"), "min_ms": F.col("least"), "median_ms": (F.col("low") + F.col("high")) / 2, "p95_ms": F.col("p95"), "max_ms": F.col("most"), "first_decile_mean_ms": F.col("first"), "last_decile_mean_ms": F.col("last")}
+    return out.select(F.col("k").alias(group), "count", *[F.round(v, 3).alias(name) for name, v in figures.items()])
 
 
 def recall(found: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
@@ -76,13 +86,20 @@ def telemetry(rows: DataFrame, group: str, order: str, *, sums: Sequence[str] =
 
 
 def ordered_digest(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """SHA-256 of a group's values in order, joined by NUL.
+    """SHA-256 of a group's values whatever their order.
 
-    Values are folded to their own digests first, so what one task gathers is
-    64 characters a row whatever the values' lengths.
+    Values are folded to their own digests. The sorted digests that share four
+    hexadecimal digits are joined by NUL and digested, and so are the results
+    by their first two digits and then all. So a task gathers a 65,536th of a
+    group, or 256 digests.
     """
-    digests = rows.select(group, F.sha2(F.col(value).cast("binary"), 256).alias("d"))
-    return digests.groupBy(group).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "\0").cast("binary"), 256).alias("digest"))
+    digests = rows.select(F.col(group).alias("g"), F.sha2(F.col(value).cast("binary"), 256).alias("d"))
+    for digits in (4, 2, 0):
+        named = digests.withColumn("range", F.substring("d", 1, 4) if digits == 4 else F.substring("range", 1, digits))
+        place = F.struct("d") if digits == 4 else F.struct("at", "d")
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["d"]), "\0")
+        digests = named.groupBy("g", "range").agg(F.sha2(joined.cast("binary"), 256).alias("d")).withColumn("at", F.col("range"))
+    return digests.select(F.col("g").alias(group), F.col("d").alias("digest"))
 
 
 def adoption(metrics: DataFrame, floors: dict[str, float]) -> DataFrame:

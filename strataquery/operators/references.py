@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from strataquery.functions.paths import folder_of, package_roots, python_module_paths, script_module_paths
 from strataquery.functions.text import last_segment, owner
-from strataquery.operators.graphs import nearest_scope, reach
+from strataquery.operators.graphs import closure, nearest_scope, reach
 
 SCHEMA = (
     "reference_id string, record_kind string, file_id string, project_id string, path string, language string, kind string, source_qualified_symbol string, written_name string, target_name string, "
@@ -30,7 +30,7 @@ HOPS = 4
 CALL_SHAPE = "struct<positional_count: int, keywords: array<string>, has_positional_spread: boolean, has_keyword_spread: boolean, type_argument_count: int, is_constructor: boolean>"
 PARAMETERS = "array<struct<name: string, kind: string, required: boolean, position: int, destructured: boolean>>"
 
-# Reasons, in the order in which they are tried.
+#: Reasons, in the order in which they are tried.
 EXPLANATIONS = {
     "wildcard_import": "A wildcard import in the file may bind the name.",
     "known_owner_member": "The receiver is the owner of the declaration.",
@@ -191,15 +191,41 @@ def limitations(hits: DataFrame) -> DataFrame:
     return hits.where(F.col("reason").isin(list(LIMITING))).select(F.col("reason").alias("code"), F.try_element_at(table, F.col("reason")).alias("explanation"), "path").distinct().orderBy("code", F.coalesce("path", F.lit("")))
 
 
-def overrides(rows: DataFrame, selected: Selected, depth: int = 50) -> DataFrame:
-    """Methods of the same name in classes below the selected method's class."""
+def inheritance_edges(rows: DataFrame, files: DataFrame, classes: DataFrame) -> DataFrame:
+    """src and dst, structs of path and class: dst names src as a base, and the name binds to it.
+
+    A bare name means the class of that name in its own file, or what an
+    import binds to it there (under an alias or as a default). In
+    ``space.Name`` the receiver has to be a namespace that the file imports.
+    ``classes`` (path, class) are the classes that may be bases.
+    """
+    bases = rows.where((F.col("record_kind") == "reference") & (F.col("kind") == "inheritance") & (F.col("target_name") != "") & (F.col("source_qualified_symbol") != ""))
+    bases = bases.select("path", F.struct("path", F.col("source_qualified_symbol").alias("class")).alias("dst"), owner(F.col("target_name")).alias("receiver"), last_segment(F.col("target_name")).alias("name"))
+    imports = rows.where((F.col("record_kind") == "reference") & (F.col("kind") == "import") & F.col("module_path").isNotNull())
+    space = is_namespace_import(F.col("imported_name"), F.col("alias")) | ((F.col("language") == "python") & F.col("imported_name").isNull())
+    bound = imports.join(module_targets(imports, files), "reference_id").select("path", binding().alias("local"), F.coalesce(space, F.lit(False)).alias("space"), "imported_name", "target_path")
+
+    bare = bases.where("receiver = ''")
+    own = bare.select(F.col("path").alias("from"), "name", "dst")
+    named = bare.join(bound.where("not space and imported_name is not null").withColumnRenamed("local", "name"), ["path", "name"])
+    spaced = bases.where("receiver != ''").join(bound.where("space").withColumnRenamed("local", "receiver"), ["path", "receiver"]).select(F.col("target_path").alias("from"), "name", "dst")
+    by_name = own.unionByName(named.where("imported_name != 'default'").select(F.col("target_path").alias("from"), F.col("imported_name").alias("name"), "dst")).unionByName(spaced)
+    anyone = named.where("imported_name = 'default'").select(F.col("target_path").alias("from"), "dst")
+
+    known = classes.select(F.col("path").alias("from"), last_segment(F.col("class")).alias("name"), F.struct("path", "class").alias("src"))
+    return known.join(by_name, ["from", "name"]).select("src", "dst").unionByName(known.join(anyone, "from").select("src", "dst")).where("src != dst").distinct()
+
+
+def overrides(rows: DataFrame, files: DataFrame, selected: Selected) -> DataFrame:
+    """Methods of the same name in all classes below the selected method's class, however far."""
     rows = rows.where(F.col("schema_version") == GENERATION)
-    bases = rows.where((F.col("record_kind") == "reference") & (F.col("kind") == "inheritance"))
-    edges = bases.select(last_segment(F.col("target_name")).alias("src"), last_segment(F.col("source_qualified_symbol")).alias("dst")).distinct()
-    start = rows.sparkSession.createDataFrame([(selected.owner.rpartition(".")[2],)], "start string")
-    below = reach(start, edges, depth).select(F.col("node").alias("class"))
-    methods = rows.where((F.col("record_kind") == "declaration") & (last_segment(F.col("target_name")) == selected.symbol) & (F.col("target_name") != selected.qualified_symbol))
-    return methods.withColumn("class", last_segment(owner(F.col("target_name")))).join(below, "class", "left_semi")
+    declared = rows.where(F.col("record_kind") == "declaration")
+    top = declared.where((F.col("path") == selected.path) & (F.col("target_name") == selected.owner) & (F.col("kind") == "class"))
+    derived = rows.where((F.col("record_kind") == "reference") & (F.col("kind") == "inheritance") & (F.col("source_qualified_symbol") != ""))
+    classes = top.select("path", F.col("target_name").alias("class")).unionByName(derived.select("path", F.col("source_qualified_symbol").alias("class"))).distinct()
+    start = top.select(F.struct("path", F.col("target_name").alias("class")).alias("start"))
+    below = closure(start, inheritance_edges(rows, files, classes)).where("node != start").select("node.path", F.concat("node.class", F.lit("." + selected.symbol)).alias("target_name"))
+    return declared.join(below.distinct(), ["path", "target_name"], "left_semi")
 
 
 def signature_issue(call: Column, old: Column, new: Column, *, overloads: Column, bound: Column) -> Column:

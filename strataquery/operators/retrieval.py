@@ -7,13 +7,15 @@ functions ask only for the columns they name.
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataquery.functions.text import snippet, truncated, without_part
-from strataquery.functions.vectors import cosine
+from strataquery.functions.vectors import cosine, dot
 
 #: BM25 constants, and the constant of reciprocal rank fusion.
 K1, B, FUSION = 1.2, 0.75, 60
@@ -27,15 +29,11 @@ def terms_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _NOT_TERM), lambda t: t != "")
 
 
-def postings(chunks: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, tf and the length of the text; one row a distinct term of a chunk.
-
-    Written once beside the chunks, sorted by term, it is the text index: a
-    query reads only its own terms.
-    """
-    rows = chunks.select(F.col(key).alias("key"), terms_of(F.col(text)).alias("terms"))
-    counted = rows.select("key", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    return counted.groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+def postings(chunks: DataFrame, key: str, text: str, facets: Sequence[str] = ()) -> DataFrame:
+    """key, term, tf, the length of the text and the facets; one row a distinct term of a chunk (``textindex``)."""
+    rows = chunks.select(F.col(key).alias("key"), *facets, terms_of(F.col(text)).alias("terms"))
+    counted = rows.select("key", *facets, F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    return counted.groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"), *[F.first(c).alias(c) for c in facets])
 
 
 def _equals(word: str):
@@ -65,26 +63,6 @@ def bm25(chunks: DataFrame, key: str, text: str, query: Sequence[str], *, k1: fl
     return hits.select("key", total.alias("score"))
 
 
-def text_stats(chunks: DataFrame, text: str) -> DataFrame:
-    """One row: chunks and their mean length in terms; kept beside the postings."""
-    return chunks.select(F.size(terms_of(F.col(text))).alias("length")).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
-
-
-def bm25_from_postings(index: DataFrame, stats: DataFrame, query: Sequence[str], *, k1: float = K1, b: float = B) -> DataFrame:
-    """The scores of ``bm25`` from ``postings`` and ``text_stats``.
-
-    The term predicate reaches the scan, so a query over an index sorted by
-    term reads its own row groups only, whatever the corpus.
-    """
-    wanted = list(dict.fromkeys(query))
-    hits = index.where(F.col("term").isin(wanted))
-    spread = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = spread.join(F.broadcast(stats)).select("term", "mean", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # a row a term
-    scored = hits.join(F.broadcast(weights), "term")
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    return scored.groupBy("key").agg(F.sum(part).alias("score"))
-
-
 def vector_scores(vectors: DataFrame, key: str, vector: str, query: Sequence[float]) -> DataFrame:
     """key and cosine with one query vector."""
     return vectors.select(F.col(key).alias("key"), cosine(F.col(vector), F.array(*[F.lit(float(x)) for x in query])).alias("score"))
@@ -113,23 +91,15 @@ def clamp(limit: int, most: int = 50) -> int:
     return max(1, min(limit, most))
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame | None, *, key: str, texts: Sequence[str], vector: str, terms: Sequence[str], query_vector: Sequence[float] | None, where: Column | None = None, limit: int = 8) -> DataFrame:
+def hybrid(texts: DataFrame, vectors: DataFrame | None, *, vector_key: str, vector: str, query_vector: Sequence[float] | None, limit: int = 8) -> DataFrame:
     """key and fused score of the best chunks.
 
-    Filters apply before any ranking. The text fields' BM25 scores add up. The
-    vector ranking covers the filtered chunks only.
+    ``texts`` are keyword scores (key, score), as of a ``TextIndex``, and
+    ``vectors`` the candidates' vectors; filters were applied to both before.
     """
-    kept = chunks if where is None else chunks.where(where)
-    scores = bm25(kept, key, texts[0], terms)
-    for text in texts[1:]:
-        scores = scores.unionByName(bm25(kept, key, text, terms))
-    if len(texts) > 1:
-        scores = scores.groupBy("key").agg(F.sum("score").alias("score"))
-    rankings = [ranked(scores, fetch_size(limit))]
+    rankings = [ranked(texts, fetch_size(limit))]
     if vectors is not None and query_vector is not None:
-        # with vectors in a table of their own, a semi-join keeps those of filtered chunks
-        own = vectors if vectors is chunks and where is None else vectors.join(kept.select(F.col(key)), key, "left_semi")
-        rankings.append(ranked(vector_scores(own, key, vector, query_vector), fetch_size(limit)))
+        rankings.append(ranked(vector_scores(vectors, vector_key, vector, query_vector), fetch_size(limit)))
     return fused(rankings)
 
 
@@ -198,25 +168,74 @@ def chunk_by_id(chunks: DataFrame, projects: DataFrame, chunk_id: str) -> DataFr
     return chunks.where((F.col("project_id") == project) & (F.col("chunk_id") == chunk_id)).join(known, "project_id", "left_semi")
 
 
+#: Queries that are broadcast at once.
+QUERY_BLOCK = 1024
+
+
 def exact_neighbours(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """query, key, score and rank of the ``k`` nearest by cosine.
 
-    ``queries`` must be few: they are broadcast after their number is checked.
+    A stated query set against all rows: each block of ``QUERY_BLOCK`` queries
+    is broadcast and keeps its ``k`` best inside each task before the shuffle.
     """
-    if queries.limit(1025).count() > 1024:
-        raise ValueError("more than 1024 queries; search them in parts")
     asked = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"))
-    pairs = vectors.select(F.col(key).alias("key"), F.col(vector).alias("_v")).join(F.broadcast(asked))
+    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
+    rows = vectors.select(F.col(key).alias("key"), F.col(vector).alias("_v"))
+    found = None
+    for block in range(blocks):
+        own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block)
+        pairs = rows.join(F.broadcast(own)).select("query", "key", cosine(F.col("_v"), F.col("_q")).alias("score"))
+        found = pairs if found is None else found.unionByName(pairs)
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), "key")
-    return pairs.select("query", "key", cosine(F.col("_v"), F.col("_q")).alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
 
+#: Rows from which an approximate index is worth its upkeep.
+INDEX_ROWS = 20_000
 
-def approximate_neighbours(vectors: DataFrame, query: Sequence[float], key: str, vector: str, k: int, *, tables: int = 8, width: float = 0.8, seed: int = 7) -> DataFrame:
-    """key and distance of about the ``k`` nearest: random-projection buckets, then exact distances inside them."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
 
-    rows = vectors.select(F.col(key).alias("key"), array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed).fit(rows)
-    return model.approxNearestNeighbors(rows, Vectors.dense([float(x) for x in query]), k, distCol="distance").select("key", "distance")
+class SignIndex:
+    """Approximate nearest neighbours by the signs of random projections.
+
+    Each of ``tables`` tables keys a vector by ``bits`` signs. A query probes
+    its own key and the keys that differ in one of its least certain signs, and
+    scores what it meets exactly. A query that meets fewer than ``k`` rows is
+    searched exactly, so none comes back short.
+    """
+
+    def __init__(self, vectors: DataFrame, key: str, vector: str, *, width: int, tables: int = 12, bits: int = 8, probes: int = 4, seed: int = 7):
+        self.key, self.vector, self.bits, self.probes = key, vector, bits, probes
+        drawn = random.Random(seed)
+        self.planes = [[[drawn.gauss(0, 1) for _ in range(width)] for _ in range(bits)] for _ in range(tables)]
+        self.vectors = vectors
+
+    def _sides(self, vector: Column) -> Column:
+        """Dot products with the planes, table by table."""
+        planes = F.array(*[F.array(*[F.array(*map(F.lit, p)) for p in table]) for table in self.planes])
+        return F.transform(planes, lambda table: F.transform(table, lambda p: dot(vector, p)))
+
+    @staticmethod
+    def _code(sides: Column) -> Column:
+        return F.aggregate(sides, F.lit(0), lambda a, x: a * 2 + (x >= 0).cast("int"))
+
+    def neighbours(self, queries: DataFrame, k: int) -> DataFrame:
+        """query, key, score and rank of about the ``k`` nearest by cosine."""
+        sides = self._sides(F.col(self.vector))
+        coded = self.vectors.select(F.col(self.key).alias("key"), F.col(self.vector).alias("v"), F.posexplode(F.transform(sides, self._code)).alias("table", "code"))
+        asked = queries.select(F.col(self.key).alias("query"), F.col(self.vector).alias("q"), F.posexplode(sides).alias("table", "sides"))
+        unsure = F.slice(F.array_sort(F.transform("sides", lambda x, i: F.struct(F.abs(x).alias("d"), i.alias("i")))), 1, self.probes)
+        codes = F.concat(F.array(self._code(F.col("sides"))), F.transform(unsure, lambda u: self._code(F.col("sides")).bitwiseXOR(F.shiftleft(F.lit(1), self.bits - 1 - u["i"]))))
+        met = asked.select("query", "q", "table", F.explode(codes).alias("code")).join(coded, ["table", "code"]).select("query", "key", "q", "v").dropDuplicates(["query", "key"])
+        order = Window.partitionBy("query").orderBy(F.col("score").desc(), "key")
+        found = met.select("query", "key", cosine(F.col("q"), F.col("v")).alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        full = found.where(F.col("rank") == k).select(F.col("query").alias(self.key))
+        short = queries.join(full, self.key, "left_anti")
+        return found.join(full.withColumnRenamed(self.key, "query"), "query", "left_semi").unionByName(exact_neighbours(self.vectors, short, self.key, self.vector, k))
+
+
+def approximate_neighbours(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, *, least_rows: int = INDEX_ROWS, **options) -> DataFrame:
+    """query, key, score and rank: by a ``SignIndex`` over ``least_rows`` rows or more, exactly below."""
+    first = vectors.select(F.size(vector)).first()
+    if first is None or vectors.limit(least_rows).count() < least_rows:
+        return exact_neighbours(vectors, queries, key, vector, k)
+    return SignIndex(vectors, key, vector, width=first[0], **options).neighbours(queries, k)

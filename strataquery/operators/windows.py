@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from strataquery.operators.ranges import ahead
+from strataquery.shared import cut_lineage
 from strataquery.shipping import ship
 
 #: Edit buckets in the order in which the same span prefers them.
@@ -129,22 +131,87 @@ def padded_batches(tokens: Sequence[int], most_items: int, most_product: int) ->
     return out
 
 
+#: Rows of a group that one task packs.
+PIECE = 50_000
+
+
+def _batch_end(sizes: Sequence[int], at: int, most_items: int, most_size: int, padded: bool) -> int:
+    """Where the batch that starts at ``at`` ends, as ``greedy_batches`` and ``padded_batches`` (in order of bucket) close them."""
+    end, total, longest, bits = at, 0, 0, max(sizes[at], 0).bit_length()
+    while end < len(sizes) and end - at < most_items:
+        size = sizes[end]
+        if padded:
+            longest = max(longest, size)
+            if max(size, 0).bit_length() != bits or (end > at and (end - at + 1) * longest > most_size):
+                break
+        elif end > at and total + size > most_size:
+            break
+        total, end = total + size, end + 1
+    return end
+
+
 def pack(rows: DataFrame, group: str, order: str, size: str, *, most_items: int, most_size: int, padded: bool = False) -> DataFrame:
     """``group``, ``order``, ``size`` and the batch of each row, packed in order inside each group.
 
-    Packing depends on all rows before, so a group is one task's work; groups
-    are the files or partitions of a commit, which are bounded.
+    A batch depends on where the one before it ended, but on no more than
+    ``most_items`` rows. So a group is cut into pieces of ``PIECE`` rows. For
+    each place among the first ``most_items`` of a piece where a batch may
+    start, a task finds where the last batch of the piece then ends; the pieces
+    are chained by those answers; and each piece is packed from its own start.
+    ``padded`` batches take rows of one length bucket (by bits) at a time.
     """
-    packer = padded_batches if padded else greedy_batches
     ship(rows.sparkSession)
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        return frame.assign(batch=packer(frame[size].tolist(), most_items, most_size))
-
-    slim = rows.select(group, order, size)
-    schema = StructType([*slim.schema.fields, StructField("batch", LongType())])
-    return slim.groupBy(group).applyInPandas(one, schema)
+    slim = rows.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(size).cast("long").alias("s"))
+    bucket = F.when(F.col("s") > 0, F.length(F.bin("s"))).otherwise(0)
+    placed = ahead(slim.withColumn("b", bucket if padded else F.lit(0)), "g", ["b", "o"], into="at")
+    own = F.floor(F.col("at") / PIECE)
+    with_next = F.when((F.col("at") % PIECE < most_items) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    pieces = cut_lineage(placed.withColumn("piece", F.explode(with_next)))
+
+    def sizes_of(frame: pd.DataFrame) -> tuple[pd.DataFrame, list[int], int]:
+        frame = frame.sort_values("at", kind="stable")
+        return frame, frame["s"].tolist(), int((frame["at"] // PIECE == frame["piece"]).sum())
+
+    def exits(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        _, sizes, count = sizes_of(frame)
+        known: dict[int, tuple[int, int]] = {}
+        for start in range(min(most_items, count)):
+            at, path = start, []
+            while at < count and at not in known:
+                path.append(at)
+                at = _batch_end(sizes, at, most_items, most_size, padded)
+            end, batches = known.get(at, (at, 0))
+            for i, p in enumerate(reversed(path), 1):
+                known[p] = end, batches + i
+        return pd.DataFrame([(*key, e, known[e][0] - count, known[e][1]) for e in range(min(most_items, count))], columns=["g", "piece", "entry", "exit", "batches"])
+
+    def chained(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        by = {(p, e): (x, n) for p, e, x, n in zip(frame["piece"], frame["entry"], frame["exit"], frame["batches"])}
+        out, entry, batch = [], 0, 0
+        for piece in sorted(set(frame["piece"])):
+            out.append((*key, piece, entry, batch))
+            entry, more = by.get((piece, entry), (0, 0))  # a last piece may end before the batch that began in front of it
+            batch += more
+        return pd.DataFrame(out, columns=["g", "piece", "entry", "batch"])
+
+    def packed(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, sizes, count = sizes_of(frame)
+        at, batch = int(frame["entry"].iloc[0]), int(frame["batch"].iloc[0])
+        out = [batch - 1] * min(at, count)
+        while at < count:
+            end = _batch_end(sizes, at, most_items, most_size, padded)
+            out += [batch] * (min(end, count) - at)
+            at, batch = end, batch + 1
+        return frame.iloc[:count].assign(batch=out)[["g", "o", "s", "batch"]]
+
+    kinds = {f.name: f.dataType for f in pieces.schema.fields}
+    schema = lambda *names: StructType([StructField(n, kinds.get(n, LongType())) for n in names])
+    answers = pieces.select("g", "piece", "at", "s").groupBy("g", "piece").applyInPandas(exits, schema("g", "piece", "entry", "exit", "batches"))
+    starts = answers.groupBy("g").applyInPandas(chained, schema("g", "piece", "entry", "batch"))  # most_items rows a piece
+    starts = starts.select(F.col("g").alias("g2"), F.col("piece").alias("p2"), "entry", "batch")
+    both = pieces.join(starts, F.col("g").eqNullSafe(F.col("g2")) & (F.col("piece") == F.col("p2"))).select("g", "piece", "at", "o", "s", "entry", "batch")
+    out = both.groupBy("g", "piece").applyInPandas(packed, schema("g", "o", "s", "batch"))
+    return out.select(F.col("g").alias(group), F.col("o").alias(order), F.col("s").alias(size), "batch")
 
 
 def windows_of_lines(rows: DataFrame, key: str, text: str) -> DataFrame:

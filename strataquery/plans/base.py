@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strataquery.operators.textindex import TextIndex
+from strataquery.shared import shared_folder
+from strataquery.sources.hadoop import Folder
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -37,3 +44,19 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+    def text_index(self) -> TextIndex:
+        """The index of the documents' texts. It is built when it is first asked for, and again if the table has changed."""
+        path = f"{self.folder}/documents.parquet"
+        table, shared = Folder(self.spark, path), Folder(self.spark, f"{_shared(self.spark)}/text-index")
+        note = f"{hashlib.sha256(f'{path} {table.size('')} {table.changed('')}'.encode()).hexdigest()[:32]}.json"
+        if shared.read_json(note) is None:
+            name = uuid.uuid4().hex
+            TextIndex.build(self.documents, shared.at(name), key="doc_id", text="text", facets=["source", "lang"])
+            shared.write_json(note, {"folder": name})
+        return TextIndex(self.spark, shared.at(shared.read_json(note)["folder"]))
+
+
+@lru_cache(maxsize=8)
+def _shared(spark: SparkSession) -> str:
+    return shared_folder(spark)

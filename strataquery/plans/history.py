@@ -206,7 +206,11 @@ def telemetry_rollup(t: Tables) -> DataFrame:
     return metrics.telemetry(rows, "user_id", "event_id", sums=["k"], maxima=["value"], firsts=["event_type"], lasts=["purchase"])
 
 
-@query("SELECT source, sha256(string_agg(sha256(text), chr(0) ORDER BY sha256(text))) AS digest FROM documents GROUP BY source")
+@query("""
+WITH a AS (SELECT source, sha256(text) AS d FROM documents),
+b AS (SELECT source, left(d, 4) AS r, sha256(string_agg(d, chr(0) ORDER BY d)) AS d FROM a GROUP BY source, left(d, 4)),
+c AS (SELECT source, left(r, 2) AS r, sha256(string_agg(d, chr(0) ORDER BY r)) AS d FROM b GROUP BY source, left(r, 2))
+SELECT source, sha256(string_agg(d, chr(0) ORDER BY r)) AS digest FROM c GROUP BY source""")
 def corpus_digest(t: Tables) -> DataFrame:
     return metrics.ordered_digest(t.documents, "source", "text")
 

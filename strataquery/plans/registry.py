@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataquery.plans import history, scans, search, sets, sources, streams, structure  # noqa: F401  they register themselves
+from strataquery.plans import history, resolver, scans, search, sets, sources, streams, structure  # noqa: F401  they register themselves
 from strataquery.plans.base import ORACLES, QUERIES, Query
 
 

@@ -189,7 +189,13 @@ def probe_validity(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", vectors.valid_probe(F.col("embedding"), 64).alias("valid"))
 
 
-@query()
+# Half precision keeps eleven bits of a number's own power of two, ten from 2**-14 down; ties go to even.
+_HALF = "list_transform(v, lambda x: CASE WHEN x = 0 THEN 0 ELSE round_even(x * pow(2, 10 - greatest(floor(log2(abs(x))), -14)), 0) / pow(2, 10 - greatest(floor(log2(abs(x))), -14)) END)"
+
+
+@query(f"""
+WITH d AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), h AS (SELECT vec_id, v, {_HALF} AS h FROM d)
+SELECT vec_id, round(list_dot_product(v, h) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(h, h))), 9) AS cosine FROM h""")
 def float16_rounding(t: Tables) -> DataFrame:
     half = t.embeddings.select("vec_id", "embedding", vectors.half_precision(F.col("embedding")).alias("half"))
     return half.select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("half")), 9).alias("cosine"))
@@ -217,17 +223,50 @@ def token_windows(t: Tables) -> DataFrame:
     return cut.select("doc_id", *[F.col(f"w.{c}").cast("long").alias(c) for c in ("part", "first", "n_tokens")])
 
 
-@query()
+# One step a window: from line i on, the lines that fit into 4096 characters and 200 lines; a longer line alone, in fragments.
+@query(r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(text, '[^\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]*(?:\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}])|[^\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]+') AS lines FROM documents),
+l AS (SELECT doc_id, len(lines) AS n, list_transform(lines, lambda x: length(x)) AS sizes FROM d),
+s AS (SELECT doc_id, n, sizes, list_prepend(0, list_transform(range(1, n + 1), lambda i: CAST(list_sum(sizes[1:i]) AS BIGINT))) AS starts FROM l WHERE n > 0),
+w AS (
+  SELECT doc_id, n, sizes, starts, 0 AS i, 0 AS first_part, 0 AS line, CAST(0 AS BIGINT) AS stop, 0 AS parts FROM s
+  UNION ALL
+  SELECT doc_id, n, sizes, starts,
+         CASE WHEN long THEN i + 1 WHEN e >= n THEN n ELSE e - CASE WHEN sizes[e + 1] > 4096 THEN 0 ELSE least(20, e - i - 1) END END AS i,
+         first_part + parts AS first_part, i AS line, starts[CASE WHEN long THEN i + 2 ELSE e + 1 END] AS stop,
+         CASE WHEN long THEN CAST(ceil(sizes[i + 1] / 4096.0) AS INTEGER) ELSE 1 END AS parts
+  FROM (
+    SELECT *, sizes[i + 1] > 4096 AS long, CAST(i + len(list_filter(range(i + 1, least(n, i + 200) + 1), lambda e: starts[e + 1] - starts[i + 1] <= 4096)) AS INTEGER) AS e
+    FROM w WHERE i < n)),
+p AS (SELECT *, unnest(range(0, parts)) AS k, len(list_filter(starts, lambda x: x < stop)) AS last FROM w WHERE parts > 0)
+SELECT CAST(doc_id AS BIGINT) AS key, CAST(first_part + k AS BIGINT) AS part, starts[line + 1] + 4096 * k AS start,
+       CASE WHEN sizes[line + 1] > 4096 THEN least(starts[line + 1] + 4096 * (k + 1), stop) ELSE stop END AS "end", CAST(line + 1 AS BIGINT) AS start_line, CAST(last AS BIGINT) AS end_line FROM p""")
 def greedy_line_windows(t: Tables) -> DataFrame:
     return windows.windows_of_lines(t.documents, "doc_id", "text")
 
 
-@query()
+@query("""
+WITH RECURSIVE d AS (SELECT source, doc_id, CAST(ceil(n_chars / 4) AS BIGINT) AS s FROM documents),
+o AS (SELECT *, CASE WHEN s > 0 THEN length(bin(s)) ELSE 0 END AS b FROM d),
+n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY b, doc_id) AS i FROM o),
+r AS (
+  SELECT source, doc_id, s, b, i, CAST(0 AS BIGINT) AS batch, 1 AS items, s AS longest FROM n WHERE i = 1
+  UNION ALL
+  SELECT source, doc_id, s, b, i, batch + CASE WHEN new THEN 1 ELSE 0 END, CASE WHEN new THEN 1 ELSE items + 1 END, CASE WHEN new THEN s ELSE greatest(longest, s) END
+  FROM (SELECT n.*, batch, items, longest, n.b <> r.b OR items >= 16 OR (items + 1) * greatest(longest, n.s) > 32768 AS new FROM r JOIN n ON n.source IS NOT DISTINCT FROM r.source AND n.i = r.i + 1))
+SELECT source, doc_id, s AS tokens, batch FROM r""")
 def microbatch_pack(t: Tables) -> DataFrame:
     tokens = t.documents.select("source", "doc_id", F.ceil(F.col("n_chars") / 4).alias("tokens"))
     return windows.pack(tokens, "source", "doc_id", "tokens", most_items=16, most_size=32768, padded=True)
 
 
-@query()
+@query("""
+WITH RECURSIVE n AS (SELECT source, doc_id, CAST(n_chars AS BIGINT) AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+r AS (
+  SELECT source, doc_id, s, i, CAST(0 AS BIGINT) AS batch, 1 AS items, s AS size FROM n WHERE i = 1
+  UNION ALL
+  SELECT source, doc_id, s, i, batch + CASE WHEN new THEN 1 ELSE 0 END, CASE WHEN new THEN 1 ELSE items + 1 END, CASE WHEN new THEN s ELSE size + s END
+  FROM (SELECT n.*, batch, items, size, items >= 64 OR size + n.s > 1048576 AS new FROM r JOIN n ON n.source IS NOT DISTINCT FROM r.source AND n.i = r.i + 1))
+SELECT source, doc_id, s AS n_chars, batch FROM r""")
 def commit_pack(t: Tables) -> DataFrame:
     return windows.pack(t.documents.select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", most_items=64, most_size=1 << 20)

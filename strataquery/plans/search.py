@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataquery.operators import metrics, retrieval
+from strataquery.operators.textindex import TextIndex
 from strataquery.plans.base import Tables, query
+from strataquery.shared import shared_folder
 
 
 def _symbols(t: Tables) -> DataFrame:
@@ -83,14 +87,22 @@ def _bm25_sql(where: str = "true", terms: tuple[str, ...] = TERMS) -> str:
 
 @query(f"WITH {_bm25_sql()} SELECT key AS doc_id, round(score, 6) AS score FROM text_scores")
 def fulltext_bm25(t: Tables) -> DataFrame:
-    return retrieval.bm25(t.documents, "doc_id", "text", TERMS).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+    return t.text_index().bm25(TERMS).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_bm25_sql()} SELECT key AS doc_id, round(score, 6) AS score FROM text_scores")
-def fulltext_postings(t: Tables) -> DataFrame:
-    index = retrieval.postings(t.documents, "doc_id", "text")
-    scores = retrieval.bm25_from_postings(index, retrieval.text_stats(t.documents, "text"), TERMS)
-    return scores.select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+def fulltext_scan(t: Tables) -> DataFrame:
+    """The same without an index, in one pass over the texts."""
+    return retrieval.bm25(t.documents, "doc_id", "text", TERMS).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(r"""
+SELECT source, lang, count(*) AS n, CAST(sum(len(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) AS BIGINT) AS total
+FROM documents GROUP BY source, lang""")
+def text_index_build(t: Tables) -> DataFrame:
+    """A new index, and the statistics it keeps."""
+    index = TextIndex.build(t.documents, f"{shared_folder(t.spark)}/text-index-{uuid.uuid4().hex}", key="doc_id", text="text", facets=["source", "lang"])
+    return t.spark.read.parquet(f"{index.path}/stats")
 
 
 @query(r"""
@@ -98,7 +110,7 @@ WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p
 p AS (SELECT doc_id, CAST(len(terms) AS BIGINT) AS length, unnest(terms) AS term FROM d)
 SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM p GROUP BY term""")
 def text_postings(t: Tables) -> DataFrame:
-    return retrieval.postings(t.documents, "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum("tf").alias("occurrences"))
+    return t.text_index().postings().groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum("tf").alias("occurrences"))
 
 
 def _query_vector(t: Tables) -> list[float]:
@@ -119,17 +131,19 @@ f AS (SELECT key, sum(1 / CAST(60 + rank AS DOUBLE)) AS score FROM r GROUP BY ke
 
 
 def _hybrid(t: Tables, where=None) -> DataFrame:
-    vectors_of = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
-    return retrieval.hybrid(t.documents, vectors_of, key="doc_id", texts=["text"], vector="embedding", terms=TERMS, query_vector=_query_vector(t), where=where)
+    chunks = t.documents if where is None else t.documents.where(where)
+    vectors_of = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding").join(chunks.select("doc_id"), "doc_id", "left_semi")
+    return retrieval.hybrid(t.text_index().bm25(TERMS, where), vectors_of, vector_key="doc_id", vector="embedding", query_vector=_query_vector(t))
 
 
 _HITS = " SELECT doc_id, source, lang, round(score, 9) AS score, left(text, 4000) AS snippet FROM (SELECT key, score FROM f ORDER BY round(score, 9) DESC, key LIMIT 8) JOIN documents ON doc_id = key"
 
 
 def _hits(t: Tables, scores: DataFrame) -> DataFrame:
-    best = scores.orderBy(F.round("score", 9).desc(), "key").limit(8)
-    found = t.documents.join(F.broadcast(best), F.col("doc_id") == F.col("key"))  # 8 rows
-    return found.select("doc_id", "source", "lang", F.round("score", 9).alias("score"), F.substring("text", 1, 4000).alias("snippet"))
+    best = scores.select("key", F.round("score", 9).alias("score")).orderBy(F.col("score").desc(), "key").limit(8).collect()  # 8 rows
+    found = t.documents.where(F.col("doc_id").isin([r["key"] for r in best]))  # reaches the scan
+    scored = found.join(F.broadcast(t.spark.createDataFrame(best, "key long, score double")), F.col("doc_id") == F.col("key"))
+    return scored.select("doc_id", "source", "lang", "score", F.substring("text", 1, 4000).alias("snippet"))
 
 
 @query("WITH " + _bm25_sql() + ", " + _VECTOR.format(where="true") + _HITS)
@@ -146,8 +160,7 @@ def search_filtered(t: Tables) -> DataFrame:
 top AS (SELECT source, key, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, key) AS in_rank FROM (SELECT source, key, round(score, 6) AS score FROM text_scores JOIN documents ON doc_id = key) QUALIFY in_rank <= 5)
 SELECT source, key AS doc_id, score, in_rank FROM (SELECT *, list_position(['src4', 'src2', 'src0', 'src9'], source) AS asked FROM top WHERE source IN ('src4', 'src2', 'src0', 'src9') ORDER BY score DESC, asked, in_rank LIMIT 12)""")
 def partition_topk_merge(t: Tables) -> DataFrame:
-    scores = retrieval.bm25(t.documents, "doc_id", "text", TERMS).withColumn("score", F.round("score", 6))
-    placed = scores.join(t.documents.select(F.col("doc_id").alias("key"), "source"), "key")
+    placed = t.text_index().bm25(TERMS).withColumn("score", F.round("score", 6))
     order = ["src4", "src2", "src0", "src9"]
     top = retrieval.partition_top(placed.where(F.col("source").isin(order)), "source", "key", 5)
     return retrieval.merged_top(top, "source", order, 12).select("source", F.col("key").alias("doc_id"), "score", F.col("in_rank").cast("long").alias("in_rank"))
@@ -160,7 +173,7 @@ SELECT project_id, path, start_line, key AS doc_id, score FROM (SELECT * FROM u
 def dedupe_ranked_hits(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
-    scores = retrieval.bm25(t.documents, "doc_id", "text", TERMS).withColumn("score", F.round("score", 6))
+    scores = t.text_index().bm25(TERMS).select("key", F.round("score", 6).alias("score"))
     facts = t.documents.select(F.col("doc_id").alias("key"), F.col("source").alias("project_id"), F.col("lang").alias("path"), F.expr("n_chars div 500").alias("start_line"))
     # ranks are needed only inside a span; a global order of (score, key) stands for the rank
     hits = scores.join(facts, "key").withColumn("rank", F.struct((-F.col("score")).alias("s"), "key"))
@@ -245,9 +258,15 @@ def gate_eval(t: Tables) -> DataFrame:
     return metrics.adoption(measured, {"recall": 0.9, "speedup": 1.25})
 
 
-@query()
-def ann_lsh(t: Tables) -> DataFrame:
-    return retrieval.approximate_neighbours(t.embeddings, _query_vector(t), "vec_id", "embedding", 10).select(F.col("key").alias("vec_id"), F.round("distance", 6).alias("distance"))
+@query(f"WITH {_CENTRES} SELECT count(DISTINCT query) AS queries, count(*) AS wanted, true AS recall_ok FROM ({_EXACT})")
+def ann_recall(t: Tables) -> DataFrame:
+    """Recall of the approximate index against exact search, 0.9 or more, over all vectors; here an index of any size is used."""
+    questions = _centres(t)
+    rows = t.embeddings.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v"))
+    exact = retrieval.exact_neighbours(rows, questions, "id", "v", 8).select("query", "key")
+    found = retrieval.approximate_neighbours(rows, questions, "id", "v", 8, least_rows=1).select("query", "key", F.lit(1).alias("hit"))
+    both = exact.join(found, ["query", "key"], "left").agg(F.count_distinct("query").alias("queries"), F.count(F.lit(1)).alias("wanted"), (F.count("hit") / F.count(F.lit(1))).alias("recall"))
+    return both.select("queries", "wanted", (F.col("recall") >= 0.9).alias("recall_ok"))
 
 
 @query("""

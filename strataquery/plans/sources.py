@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataquery.plans.base import Tables, query
+from strataquery.shared import shared_folder
 from strataquery.sources import extract
 from strataquery.sources.store import PartitionStore
 
@@ -56,8 +55,7 @@ SELECT CAST(l_orderkey AS VARCHAR) AS file_id, l_orderkey || ':' || l_linenumber
 UNION ALL SELECT CAST(o_orderkey AS VARCHAR), o_orderkey || ':new' FROM orders WHERE o_orderpriority = '1-URGENT'""")
 def store_commit(t: Tables) -> DataFrame:
     """Two commits to a fresh partition, then a read of the live version."""
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="store-")
-    store = PartitionStore(t.spark, f"{root}/store-{id(t)}-{t.spark.range(1).select(F.uuid()).first()[0]}", _SLIM)
+    store = PartitionStore(t.spark, f"{shared_folder(t.spark)}/store-{id(t)}-{t.spark.range(1).select(F.uuid()).first()[0]}", _SLIM)
     files = t.orders.select(F.col("o_orderkey").cast("string").alias("file_id"), F.col("o_custkey").alias("size"))
     chunks = t.lineitem.select(F.col("l_orderkey").cast("string").alias("file_id"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("chunk_id"))
     store.commit({"files": files, "chunks": chunks})

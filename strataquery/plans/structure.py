@@ -107,20 +107,13 @@ _ROOT = r"regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '(/[^/]*|[?#].*)
 
 
 @query(rf"""
-WITH r AS (SELECT root, min(page_id) AS id FROM (SELECT page_id, unnest([regexp_extract(url, '://([^/?#]*)', 1), regexp_extract(url, '://([^/?#]*/[^/?#]*)', 1)]) AS root FROM pages) WHERE root <> '' GROUP BY root),
-n AS (SELECT row_number() OVER (ORDER BY root) AS id, root FROM r)
-SELECT a.id AS a, b.id AS b, CASE WHEN starts_with(b.root, a.root || '/') THEN 'contains' ELSE 'nested' END AS relation
-FROM n a JOIN n b ON a.id < b.id AND (starts_with(b.root, a.root || '/') OR starts_with(a.root, b.root || '/'))""")
+WITH r AS (SELECT DISTINCT root FROM (SELECT page_id, unnest([regexp_extract(url, '://([^/?#]*)', 1), regexp_extract(url, '://([^/?#]*/[^/?#]*)', 1)]) AS root FROM pages) WHERE root <> '')
+SELECT a.root AS a, b.root AS b, CASE WHEN starts_with(b.root, a.root || '/') THEN 'contains' ELSE 'nested' END AS relation
+FROM r a JOIN r b ON a.root < b.root AND (starts_with(b.root, a.root || '/') OR starts_with(a.root, b.root || '/'))""")
 def overlap_pairs(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
     both = t.pages.select(F.explode(F.array(F.regexp_extract("url", "://([^/?#]*)", 1), F.regexp_extract("url", "://([^/?#]*/[^/?#]*)", 1))).alias("root"))
     roots = both.where("root != ''").distinct()
-    # numbers are for the report only; the pairs are found by root
-    pairs = graphs.overlapping_roots(roots.withColumn("id", F.col("root")))
-    numbered = roots.withColumn("id", F.row_number().over(Window.orderBy("root")).cast("long"))
-    named = pairs.join(numbered.select(F.col("root").alias("a"), F.col("id").alias("ia")), "a").join(numbered.select(F.col("root").alias("b"), F.col("id").alias("ib")), "b")
-    return named.select(F.col("ia").alias("a"), F.col("ib").alias("b"), "relation")
+    return graphs.overlapping_roots(roots.withColumn("id", F.col("root")))
 
 
 @query("SELECT a.s_nationkey AS common, a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND a.s_name <> b.s_name")

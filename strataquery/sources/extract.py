@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from strataquery.functions.text import context_header, identifier_terms, passage
 from strataquery.functions.vectors import hash_embedding
 from strataquery.operators.references import GENERATION
+from strataquery.operators.retrieval import postings, terms_of
 from strataquery.operators.windows import bounded_line_windows
 from strataquery.shipping import ship
 from strataquery.sources import extract_lexical, extract_python
@@ -128,7 +129,14 @@ def chunk_rows(parsed: DataFrame, slot_id: str, embed: Callable[[Column], Column
     parts = [F.lit(slot_id), F.col("file_id"), F.col("content_hash"), F.col("kind"), F.coalesce("qualified_symbol", F.lit("")), F.col("start_byte"), F.col("end_byte"), F.col("part_index")]
     digest = F.sha2(F.concat_ws("\0", *[p.cast("string") for p in parts]).cast("binary"), 256)
     header = context_header(F.col("language"), F.col("path"), F.col("kind"), F.col("qualified_symbol"))
-    return c.withColumn("chunk_id", F.concat_ws(":", "project_id", digest)).withColumn("identifier_terms", identifier_terms(F.col("path"), F.col("qualified_symbol"), F.col("symbol"))).withColumn("vector", embed(passage(header, F.col("content"))))
+    named = c.withColumn("chunk_id", F.concat_ws(":", "project_id", digest)).withColumn("identifier_terms", identifier_terms(F.col("path"), F.col("qualified_symbol"), F.col("symbol"))).withColumn("vector", embed(passage(header, F.col("content"))))
+    return named.withColumns({"content_length": F.size(terms_of(F.col("content"))), "identifier_length": F.size(terms_of(F.col("identifier_terms")))})
+
+
+def posting_rows(chunks: DataFrame) -> DataFrame:
+    """Rows of the text index of ``chunk_rows``."""
+    parts = [postings(chunks, "chunk_id", text, ["file_id"]).withColumn("field", F.lit(field)) for field, text in (("content", "content"), ("identifier", "identifier_terms"))]
+    return parts[0].unionByName(parts[1]).select("file_id", F.col("key").alias("chunk_id"), "field", "term", F.col("tf").cast("int").alias("tf"), "length")
 
 
 def reference_rows(parsed: DataFrame) -> DataFrame:

@@ -70,10 +70,46 @@ def test_no_false_exact_after_leaving_the_chain(spark):
     assert got[("c.py", 2)][0] != "exact"
 
 
+def overriding(spark, sources, path="a.py", symbol="Base.run"):
+    rows, files = index(spark, sources)
+    return sorted((r["path"], r["target_name"]) for r in references.overrides(rows, files, selected(rows, path, symbol)).collect())
+
+
+BASE = "class Base:\n    def run(self): pass\n"
+SUB = "    def run(self): pass\n"
+
+
 def test_overrides_follow_all_subclasses(spark):
-    rows, _ = index(spark, {"a.py": "class A:\n    def run(self): pass\n", "b.py": "class B(A):\n    pass\nclass C(B):\n    def run(self): pass\n", "c.py": "class D:\n    def run(self): pass\n"})
-    got = references.overrides(rows, selected(rows, "a.py", "A.run")).collect()
-    assert [r["target_name"] for r in got] == ["C.run"]
+    sources = {"a.py": BASE + "class B(Base):\n    pass\n", "b.py": "from a import B\nclass C(B):\n" + SUB, "c.py": "class D:\n" + SUB}
+    assert overriding(spark, sources) == [("b.py", "C.run")]
+
+
+def test_overrides_go_by_the_binding_of_the_base(spark):
+    sources = {
+        "a.py": BASE,
+        "b.py": "from a import Base as B\nclass C(B):\n" + SUB,
+        "n.py": "import a as space\nclass N(space.Base):\n" + SUB + "class O(other.Base):\n" + SUB,
+        "z.py": BASE + "class Un(Base):\n" + SUB,
+        "y.py": "from z import Base\nclass Y(Base):\n" + SUB,
+        "x.py": "from a import Other as Base\nclass X(Base):\n" + SUB,
+    }
+    assert overriding(spark, sources) == [("b.py", "C.run"), ("n.py", "N.run")]
+
+
+def test_overrides_of_classes_of_one_name_and_cycles(spark):
+    sources = {"a.py": BASE + "class In:\n    class Base(Base):\n        def run(self): pass\n", "b.py": "from a import Base\nfrom c import Loop\nclass Mid(Base, Loop):\n    pass\n", "c.py": "from b import Mid\nclass Loop(Mid):\n" + SUB}
+    assert ("c.py", "Loop.run") in overriding(spark, sources)
+
+
+def test_overrides_more_than_fifty_classes_down(spark):
+    chain = "".join(f"class C{i}(C{i - 1}):\n    pass\n" for i in range(1, 60))
+    got = overriding(spark, {"a.py": "class C0:\n    def run(self): pass\n" + chain + "class End(C59):\n" + SUB}, symbol="C0.run")
+    assert got == [("a.py", "End.run")]
+
+
+def test_overrides_of_scripts(spark):
+    sources = {"src/a.ts": "export default class Base {\n  run() {}\n}\n", "m.ts": "import Mine from './src/a';\nclass C extends Mine {\n  run() {}\n}\n", "n.ts": "class Base {}\nclass D extends Base {\n  run() {}\n}\n"}
+    assert overriding(spark, sources, "src/a.ts") == [("m.ts", "C.run")]
 
 
 def test_near_misses(spark):
