@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataquery.shared import cut_lineage  # noqa: F401  the operators take it from here
 from strataquery.shipping import ship
 
 #: A word is a run of characters other than the six ASCII white-space characters.
@@ -18,17 +17,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the files.
+#: Most rows of a few longs that are broadcast.
+BROADCAST_ROWS = 1 << 18
 
-    The folder is the one in ``spark.checkpoint.dir``. Only where that setting
-    is absent (tests, a single machine) a temporary folder is chosen.
-    """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+
+def narrow(df: DataFrame) -> bool:
+    """Whether ``df`` has ``BROADCAST_ROWS`` rows at most."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def bounded_broadcast(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast if it is ``narrow``. Its rows must be a few longs and cheap to count."""
+    return F.broadcast(df) if narrow(df) else df
 
 
 def let(value: Column, body) -> Column:

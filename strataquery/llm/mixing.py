@@ -5,13 +5,15 @@ gets a virtual finish time: the source's words up to and with it, divided by
 the source's target. All are range-sorted by finish time and the sequence is
 cut where its words would pass the budget.
 
-Prefix sums are taken over ranges of the shuffle key within a source and then
-inside each range, so a source with a third of all rows is spread like the
-others. Only built-in expressions are used.
-
-Defined results: a null text has size 0; documents of size 0 are never taken;
-a null source is a source, last in order; rows that agree in id, source and
-size are interchangeable. An empty table gives no rows. A second run gives the
+The shuffle key comes from id and text, so neither a source nor an id that
+many rows share lies in one range of it. Prefix sums are taken over ranges of
+the key within a source and then inside each range, so a source with a third
+of all rows is spread like the others. Only built-in expressions are used.
+
+Defined results: a null text has size 0 and the key of an empty one; documents
+of size 0 are never taken; a null source is a source, last in order; rows that
+agree in id, source and text are interchangeable: the mixture holds as many of
+them as all together are taken. An empty table gives no rows. A second run gives the
 same result. Other columns are never read, whatever their names.
 """
 
@@ -26,14 +28,14 @@ from pyspark.sql import functions as F
 from strataquery.llm.common import col, cut_lineage, field, packed, unpacked, word_count
 
 #: Rows of a range of shuffle keys, and of a range of finish times.
-RANGE_ROWS, FINISH_ROWS = 8192, 1 << 20
+RANGE_ROWS, FINISH_ROWS = 2048, 1 << 20
 KEY_BITS = 60
 
 
-def shuffle_key(doc_id: Column, seed: str) -> Column:
-    """60 bits of the MD5 of seed and id."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
-    return F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long")
+def shuffle_key(doc_id: Column, text: Column, seed: str) -> Column:
+    """60 bits of the MD5 of seed, id and the text's MD5."""
+    named = F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(named.cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: Sequence[int], budget_share: float, repeats: int) -> DataFrame:
@@ -59,9 +61,8 @@ def targets(sizes: DataFrame, weights: Sequence[int], budget_share: float, repea
 def mix(
     df: DataFrame, *, text: str = "text", doc_id: str = "doc_id", source: str = "source", weights: Sequence[int] = (3, 1, 2), budget_share: float = 1.5, repeats: int = 2, seed: str = "mix"
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken words of every row of ``df``."""
-    slim = df.select(col(doc_id).alias("doc_id"), col(source).alias("source"), word_count(col(text)).alias("size")).withColumn("h", shuffle_key(F.col("doc_id"), seed))
-    slim = cut_lineage(slim)
+    """doc_id, source, size, source_size, target, copies, taken words and shuffle key (h) of every row of ``df``."""
+    slim = cut_lineage(df.select(col(doc_id).alias("doc_id"), col(source).alias("source"), word_count(col(text)).alias("size"), shuffle_key(col(doc_id), col(text), seed).alias("h")))
     rows, total = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     bits = max(0, math.ceil(math.log2(max(1, rows) / RANGE_ROWS)))
     slim = slim.withColumn("part", F.shiftright("h", KEY_BITS - bits))
@@ -87,7 +88,7 @@ def mix(
         if first_out:
             taken &= F.struct(finish(F.lit(i)).alias("finish"), "pos", "h") < F.struct(*[F.lit(first_out[k]).alias(k) for k in ("finish", "pos", "h")])
         copies = copies + taken.cast("int")
-    return queued.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return queued.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "h")
 
 
 def _first_beyond(items: DataFrame, budget: float, rows: int):
@@ -111,12 +112,19 @@ def _first_beyond(items: DataFrame, budget: float, rows: int):
     return None
 
 
-def mixed_documents(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id", source: str = "source", **options) -> DataFrame:
+def mixed_documents(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: str = "mix", **options) -> DataFrame:
     """The mixture itself: each row of ``df`` as often as the mix takes it, with the columns of ``df``."""
-    plan = mix(df, text=text, doc_id=doc_id, source=source, **options)
-    # rows that agree in all three are interchangeable; they share their copies evenly
-    plan = plan.groupBy("doc_id", "source", "size").agg(F.round(F.avg("copies")).cast("int").alias("copies")).where("copies > 0")
-    plan = plan.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    sized = packed(df).select("row", field(doc_id).alias("id"), field(source).alias("from"), word_count(field(text)).alias("words"))
-    on = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("from").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size"))
-    return sized.join(plan, on).select(*unpacked(df.columns))
+    key = ["doc_id", "source", "h"]
+    plan = mix(df, text=text, doc_id=doc_id, source=source, seed=seed, **options).groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.sum("copies").cast("int").alias("copies"))
+    plan = cut_lineage(plan.where("copies > 0"))
+    rows = packed(df).select("row", field(doc_id).alias("id"), field(source).alias("from"), shuffle_key(field(doc_id), field(text), seed).alias("k"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("from").eqNullSafe(F.col("source")) & (F.col("k") == F.col("h"))
+
+    def copied(rows: DataFrame, plan: DataFrame) -> DataFrame:
+        return rows.join(plan, same).select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
+
+    taken = copied(rows, plan.where("rows = 1"))
+    repeated = plan.where("rows > 1")
+    if not repeated.isEmpty():
+        taken = taken.unionByName(copied(rows.join(repeated, same, "left_semi").dropDuplicates(["id", "from", "k"]), repeated))
+    return taken.select(*unpacked(df.columns))

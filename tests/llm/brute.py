@@ -116,8 +116,8 @@ def mix(rows, seed="mix"):
     """taken words of each (doc_id, source, text)."""
     size = [len(WORD.findall(t or "")) for _, _, t in rows]
     by = defaultdict(list)
-    for i, (d, s, _) in enumerate(rows):
-        key = int(hashlib.md5(f"{seed}:{'' if d is None else d}".encode()).hexdigest()[:15], 16)
+    for i, (d, s, t) in enumerate(rows):
+        key = int(hashlib.md5(f"{seed}:{'' if d is None else d}:{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest()[:15], 16)
         by[s].append((key, size[i], i))
     total = {s: sum(x[1] for x in v) for s, v in by.items()}
     budget = 1.5 * sum(total.values())

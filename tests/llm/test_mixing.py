@@ -74,6 +74,20 @@ def test_mixture_holds_each_row_as_often_as_taken(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == want
 
 
+def test_mixture_of_repeated_ids_holds_what_is_taken(spark):
+    rng = random.Random(4)
+    texts = [" ".join(["w"] * n) for n in (4, 4, 7, 3)]
+    rows = [(rng.choice([None, None, 1, 2]), rng.choice(["a", "b"]), rng.choice(texts)) for _ in range(230)] + [(None, "a", "x y z u")] * 40
+    _, _, taken = brute.mix(rows)
+    want = {}
+    for (d, s, t), n in zip(rows, taken):
+        want[d, s, t] = want.get((d, s, t), 0) + n // len(t.split())
+    got = {}
+    for r in mixing.mixed_documents(table(spark, rows)).collect():
+        got[r["doc_id"], r["source"], r["text"]] = got.get((r["doc_id"], r["source"], r["text"]), 0) + 1
+    assert got == {k: n for k, n in want.items() if n}
+
+
 def test_query_matches_sql(spark, sf, duck):
     from strataquery.llm.queries import oracle_sql, queries
 
