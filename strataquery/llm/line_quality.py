@@ -1,11 +1,16 @@
 """Quality rules by cross-document line frequency (operator 4).
 
 Lines are normalised (words joined by one space, lower case) and hashed. For
-each host the distinct documents with a line are counted; copies of one text
-are one document there, so that a group of copies doesn't condemn itself. A
-line is common if more than ``LEAST_DOCUMENTS`` documents and more than
-``SHARE`` of the host's documents have it. Common lines are removed, and a
-document is depleted if fewer than ``LEFT`` of its words remain.
+each host the distinct documents with a line are counted. A line is common if
+more than ``LEAST_DOCUMENTS`` of a host's documents have it; a share of the
+host's documents may be asked for besides. The limit doesn't grow with the
+host, so boilerplate of a large host is found like that of a small one. Common
+lines are removed, and a document is depleted if fewer than ``LEFT`` of its
+words remain.
+
+What counts is an option: ``per="texts"``, the default, takes copies of one
+text as one document, so that a group of copies doesn't condemn itself and
+deduplication can keep one; ``per="documents"`` counts each row.
 
 Base rules reject texts with fewer than 20 words or with over 30% of their
 words in 8-word windows that occur twice or more in the text.
@@ -27,11 +32,11 @@ from pyspark.sql import functions as F
 from strataquery.llm.common import SPACE, WORD, col, cut_lineage, field, let, packed, unpacked
 
 LEAST_DOCUMENTS = 20
-SHARE = 0.2
+SHARE = 0.0
 LEFT = 0.3
 WINDOW = 8
-#: Most depleted texts that are broadcast: 16 bytes and a host name each.
-BROADCAST_TEXTS = 50_000
+#: Most texts with common lines, and most such lines of theirs in all, that are broadcast: a key and a host name, and 8 bytes.
+BROADCAST_TEXTS, BROADCAST_LINES = 50_000, 500_000
 
 
 def _words(text: Column) -> Column:
@@ -77,10 +82,6 @@ def _failed(c: Column) -> Column:
     return (c["n"] < 20) | (100 * c["r"] > 30 * c["n"])
 
 
-def base_failed(text: Column) -> Column:
-    return let(_counted(F.coalesce(text, F.lit(""))), _failed)
-
-
 def base_facts(text: Column) -> Column:
     """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed of a whole text."""
     body = F.coalesce(text, F.lit(""))
@@ -127,39 +128,34 @@ def _text_key(text: Column) -> list[Column]:
 
 
 def text_lines(df: DataFrame, *, text: str = "text", host: str = "source") -> DataFrame:
-    """host, t1, t2, line hash and words (over all its places) of each distinct line of each distinct text.
+    """host, t1, t2, line hash, words (over all its places) and documents of each distinct line of each distinct text.
 
     Map-side aggregation folds copies of a text before the shuffle.
     """
     rows = df.select(col(host).alias("host"), *_text_key(col(text)), F.explode(distinct_lines(col(text))).alias("of")).select("host", "t1", "t2", "of.line", "of.words")
-    return cut_lineage(rows.groupBy("host", "t1", "t2", "line").agg(F.max("words").alias("words")))
+    return cut_lineage(rows.groupBy("host", "t1", "t2", "line").agg(F.max("words").alias("words"), F.count(F.lit(1)).alias("documents")))
 
 
-def common_lines(rows: DataFrame, least: int = LEAST_DOCUMENTS, share: float = SHARE) -> DataFrame:
+def common_lines(rows: DataFrame, least: int = LEAST_DOCUMENTS, share: float = SHARE, per: str = "texts") -> DataFrame:
     """h and l: host and hash of the lines of ``text_lines`` above the limits."""
-    hosts = rows.groupBy("host", "t1", "t2").agg(F.count(F.lit(1)).alias("x")).groupBy("host").agg(F.count(F.lit(1)).alias("documents"))
-    common = rows.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
-    common = common.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")))
-    return common.where(F.col("n") > share * F.col("documents")).select("h", F.col("line").alias("l"))
-
-
-def _common_of(df: DataFrame, text: str, host: str, least: int, share: float) -> DataFrame:
-    """Rows of ``text_lines`` that are common."""
-    rows = text_lines(df, text=text, host=host)
-    return rows.join(common_lines(rows, least, share), F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l"))).drop("h", "l")
-
-
-def removed_words(df: DataFrame, *, text: str = "text", host: str = "source", least: int = LEAST_DOCUMENTS, share: float = SHARE) -> DataFrame:
-    """host, t1, t2 and the words in common lines of each distinct text that has any."""
-    return _common_of(df, text, host, least, share).groupBy("host", "t1", "t2").agg(F.sum("words").alias("removed"))
-
-
-def depleted_texts(df: DataFrame, *, text: str = "text", host: str = "source", least: int = LEAST_DOCUMENTS, share: float = SHARE, left: float = LEFT) -> DataFrame:
-    """host, t1, t2 of the texts of which too little is left; lines hold all words, so no text is read again."""
+    if per not in ("texts", "documents"):
+        raise ValueError("per must be texts or documents")
+    number = F.count(F.lit(1)) if per == "texts" else F.sum("documents")
+    common = rows.groupBy("host", "line").agg(number.alias("n")).where(F.col("n") > least)
+    if share > 0:
+        one = F.lit(1) if per == "texts" else F.max("documents")
+        hosts = rows.groupBy("host", "t1", "t2").agg(one.alias("x")).groupBy("host").agg(F.sum("x").alias("all")).withColumnRenamed("host", "h")
+        common = common.join(hosts, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > share * F.col("all"))
+    return common.select(F.col("host").alias("h"), F.col("line").alias("l"))
+
+
+def common_parts(df: DataFrame, *, text: str = "text", host: str = "source", least: int = LEAST_DOCUMENTS, share: float = SHARE, per: str = "texts") -> DataFrame:
+    """host, t1, t2, the common lines (array of hashes, at most the text's own) and the words in them, of each distinct text that has any."""
     rows = text_lines(df, text=text, host=host)
-    marked = rows.join(common_lines(rows, least, share), F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")), "left")
-    sums = marked.groupBy("host", "t1", "t2").agg(F.sum("words").alias("words"), F.sum(F.when(F.col("l").isNotNull(), F.col("words"))).alias("removed"))
-    return cut_lineage(sums.where(F.col("words") - F.col("removed") < left * F.col("words")).select("host", "t1", "t2"))
+    found = rows.join(common_lines(rows, least, share, per), F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")))
+    parts = cut_lineage(found.groupBy("host", "t1", "t2").agg(F.sum("words").alias("removed"), F.collect_set("line").alias("common")))
+    texts, lines = parts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("common")), F.lit(0))).first()
+    return F.broadcast(parts) if texts <= BROADCAST_TEXTS and lines <= BROADCAST_LINES else parts
 
 
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
@@ -174,35 +170,40 @@ def _same_key() -> Column:
     return F.col("k_host").eqNullSafe(F.col("host")) & (F.col("k_t1") == F.col("t1")) & (F.col("k_t2") == F.col("t2"))
 
 
-def judge(df: DataFrame, *, text: str = "text", host: str = "source", least: int = LEAST_DOCUMENTS, share: float = SHARE, left: float = LEFT) -> DataFrame:
+def judge(df: DataFrame, *, text: str = "text", host: str = "source", left: float = LEFT, **limits) -> DataFrame:
     """``df`` without ``text`` and with the base facts, removed_words and kept; texts stay where they are read."""
     names = [c for c in df.columns if c != text]
-    facts = df.select(F.struct(F.lit(0).alias("_"), *[col(c) for c in names]).alias("row"), base_facts(col(text)).alias("facts"), *_key_of(col(host), col(text)))
-    out = facts.join(removed_words(df, text=text, host=host, least=least, share=share), _same_key(), "left")
-    gone = F.coalesce("removed", F.lit(0)).cast("long")
-    kept = ~F.col("facts.base_failed") & ~(F.col("facts.n_words") - gone < left * F.col("facts.n_words"))
+    facts = df.select(F.struct(*[col(c) for c in names]).alias("row"), base_facts(col(text)).alias("facts"), *_key_of(col(host), col(text)))
+    out = facts.join(common_parts(df, text=text, host=host, **limits).drop("common"), _same_key(), "left")
+    gone, words = F.coalesce("removed", F.lit(0)).cast("long"), F.col("facts.n_words")
+    kept = ~F.col("facts.base_failed") & ~(words - gone < left * words)
     return out.select(*unpacked(names, RESULTS), "facts.*", gone.alias("removed_words"), kept.alias("kept"))
 
 
-def clean(df: DataFrame, *, text: str = "text", host: str = "source", least: int = LEAST_DOCUMENTS, share: float = SHARE, left: float = LEFT) -> DataFrame:
-    """Documents of ``df`` that are kept, with their columns and whole texts.
+def _without(text: Column, common: Column) -> Column:
+    """The text without its common lines; as it is where ``common`` is null."""
+    rest = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(common, F.xxhash64(normal_line(x)))), "\n")
+    return F.when(common.isNull(), text).otherwise(rest)
 
-    Depleted texts are few as a rule. Up to ``BROADCAST_TEXTS`` of them are
-    broadcast, and no text is shuffled; beyond that the join is a shuffle.
-    """
-    gone = depleted_texts(df, text=text, host=host, least=least, share=share, left=left)
-    if gone.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS:
-        gone = F.broadcast(gone)
-    facts = packed(df).where(~base_failed(field(text))).select("row", *_key_of(field(host), field(text)))
-    return facts.join(gone, _same_key(), "left_anti").select(*unpacked(df.columns))
 
+def _stripped(joined: DataFrame, names: list[str], text: str) -> DataFrame:
+    return joined.select(*[_without(field(c), F.col("common")).alias(c) if c == text else field(c).alias(c) for c in names])
 
-def strip_common_lines(df: DataFrame, *, text: str = "text", host: str = "source", least: int = LEAST_DOCUMENTS, share: float = SHARE) -> DataFrame:
-    """``df`` with the common lines taken out of ``text``; a null text stays null.
 
-    The hashes gathered for a text are at most its own lines.
+def clean(df: DataFrame, *, text: str = "text", host: str = "source", left: float = LEFT, **limits) -> DataFrame:
+    """Documents of ``df`` that are kept, with their columns; the common lines are taken out of their texts.
+
+    Both verdicts are about the whole text. While few texts have common lines,
+    these are broadcast and no text is shuffled; beyond that the join is a shuffle.
     """
-    hits = _common_of(df, text, host, least, share).groupBy("host", "t1", "t2").agg(F.collect_set("line").alias("common"))
-    joined = packed(df).select("row", *_key_of(field(host), field(text))).join(hits, _same_key(), "left")
-    rest = F.array_join(F.filter(F.split(field(text), "\n"), lambda x: ~F.array_contains("common", F.xxhash64(normal_line(x)))), "\n")
-    return joined.select(*[F.when(F.col("common").isNull(), field(c)).otherwise(rest).alias(c) if c == text else field(c).alias(c) for c in df.columns])
+    # -1 for texts that fail; one condition over both sides of the join, so that no filter below it counts a text again
+    words = F.coalesce(let(_counted(F.coalesce(field(text), F.lit(""))), lambda c: F.when(_failed(c), -1).otherwise(c["n"])), F.lit(-1)).cast("long")
+    facts = packed(df).select("row", words.alias("n"), *_key_of(field(host), field(text)))
+    joined = facts.join(common_parts(df, text=text, host=host, **limits), _same_key(), "left")
+    return _stripped(joined.where(F.col("n") - F.coalesce("removed", F.lit(0)) >= left * F.col("n")), df.columns, text)
+
+
+def strip_common_lines(df: DataFrame, *, text: str = "text", host: str = "source", **limits) -> DataFrame:
+    """``df`` with the common lines taken out of ``text``; a null text stays null."""
+    joined = packed(df).select("row", *_key_of(field(host), field(text))).join(common_parts(df, text=text, host=host, **limits), _same_key(), "left")
+    return _stripped(joined, df.columns, text)

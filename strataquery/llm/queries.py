@@ -143,10 +143,7 @@ n AS (
 per AS (
   SELECT source, text, line, count(*) / count(DISTINCT i) AS times, len(string_split(line, ' ')) AS words
   FROM n WHERE line <> '' GROUP BY source, text, line),
-hosts AS (SELECT source, count(DISTINCT text) AS documents FROM per GROUP BY source),
-common AS (
-  SELECT p.source, line FROM per p JOIN hosts h ON p.source IS NOT DISTINCT FROM h.source
-  GROUP BY p.source, line HAVING count(*) > 20 AND count(*) > CAST(0.2 AS DOUBLE) * any_value(documents)),
+common AS (SELECT source, line FROM per GROUP BY source, line HAVING count(*) > 20),
 gone AS (
   SELECT p.source, p.text, CAST(sum(p.words * p.times) AS BIGINT) AS removed_words
   FROM per p JOIN common c ON p.source IS NOT DISTINCT FROM c.source AND p.line = c.line GROUP BY p.source, p.text),

@@ -76,22 +76,30 @@ def base_facts(text):
     }
 
 
-def verdicts(rows, least=20, share=0.2, left=0.3):
+def verdicts(rows, least=20, share=0.0, left=0.3, per="texts"):
     """(facts, removed, kept) of each (text, host)."""
+    return judged(rows, least, share, left, per)[0]
+
+
+def judged(rows, least=20, share=0.0, left=0.3, per="texts"):
+    """``verdicts``, and each text without its common lines."""
     normal = lambda line: " ".join(WORD.findall(line)).lower()
     texts, docs = defaultdict(set), defaultdict(set)
-    for text, host in rows:
+    for i, (text, host) in enumerate(rows):
+        one = i if per == "documents" else text or ""
         for line in (text or "").split("\n"):
             if normal(line):
-                texts[host, normal(line)].add(text or "")
-                docs[host].add(text or "")
+                texts[host, normal(line)].add(one)
+                docs[host].add(one)
     common = {k for k, v in texts.items() if len(v) > least and len(v) > share * len(docs[k[0]])}
-    out = []
+    out, rest = [], []
     for text, host in rows:
         facts = base_facts(text)
+        own = [x for x in (text or "").split("\n") if (host, normal(x)) not in common]
+        rest.append(text if len(own) == len((text or "").split("\n")) else "\n".join(own))
         gone = sum(len(normal(x).split(" ")) for x in (text or "").split("\n") if (host, normal(x)) in common)
         out.append((facts, gone, not facts["base_failed"] and not facts["n_words"] - gone < left * facts["n_words"]))
-    return out
+    return out, rest
 
 
 def targets(sizes, budget):

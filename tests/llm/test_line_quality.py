@@ -19,7 +19,8 @@ def check(spark, rows, **options):
     assert sorted((str(r["doc_id"]), *[r[c] for c in line_quality.RESULTS]) for r in got.collect()) == want
     kept = line_quality.clean(table(spark, rows), **options)
     assert kept.columns == table(spark, rows).columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(w[0] for w in want if w[-1])
+    facts, rest = brute.judged([(t, s) for _, t, s in rows], **options)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted((str(d), t) for (d, _, _), (_, _, k), t in zip(rows, facts, rest) if k)
     return want
 
 
@@ -75,6 +76,25 @@ def test_copies_of_one_text_are_one_document(spark):
     assert all(w[-1] for w in check(spark, rows))
 
 
+def test_each_document_counts_if_asked(spark):
+    rng = random.Random(6)
+    text = "\n".join(line(rng, 15) for _ in range(4))
+    rows = [(i, text, "a") for i in range(25)] + [(1000 + i, line(rng, 30), "a") for i in range(30)] + [(2000, text + "\n" + line(rng, 60), "a")]
+    want = {w[0]: w[-1] for w in check(spark, rows, per="documents")}
+    assert not want["0"] and want["1000"] and want["2000"]
+    check(spark, rows, per="documents", share=0.5)
+    with pytest.raises(ValueError):
+        line_quality.judge(table(spark, rows), per="lines")
+
+
+def test_the_limit_does_not_grow_with_the_host(spark):
+    rng = random.Random(12)
+    banner = line(rng, 30)
+    rows = [(i, line(rng, 25), "a") for i in range(2000)] + [(5000 + i, banner + "\n" + line(rng, 4), "a") for i in range(21)]
+    want = {w[0]: w[-1] for w in check(spark, rows)}
+    assert not any(want[str(5000 + i)] for i in range(21)) and want["0"]
+
+
 def test_lower_limits(spark):
     rng = random.Random(8)
     shared = line(rng, 40)
