@@ -81,9 +81,44 @@ def test_pruning_skips_blocks_and_loses_nothing():
     assert scored < 0.5 * len(blocks) * len(asked)
 
 
-def test_scores_beyond_exact_doubles_are_refused():
-    with pytest.raises(ValueError):
-        topk.search(np.full((1, 2), 1e9), np.array([1]), [(np.array([2]), np.full((1, 2), 1e9))], 1, np.array([-np.inf]))
+def test_large_scores_are_ranked_exactly(spark):
+    """Finite vectors whose scores pass 2**53 and the longs; those beyond a long are given as the nearest one."""
+    rng = random.Random(8)
+    for size in (1e7, 1e9, 1e300):
+        rows = [(i, [float(np.float32(size)) * rng.choice([-1, 1, 0.5, 0.25]) if size < 1e30 else size * rng.random() for _ in range(4)]) for i in range(30)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        whole = {i: [math.floor(256 * x) if abs(256 * x) < float("inf") else 0 for x in v] for i, v in rows}
+        want = []
+        for q in range(0, 30, 10):
+            best = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in whole if i != q)[:5]
+            want += [(q, n + 1, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, i) in enumerate(best)]
+        assert sorted(map(tuple, topk.top_k(df, df.where("vec_id % 10 = 0")).collect())) == want
+
+
+def test_group_bounds_keep_most_queries_from_most_groups(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    monkeypatch.setattr(topk, "GROUP", 2)
+    sent, real = [], topk._searched
+
+    def seen(placed, requests, *rest):
+        sent.append(requests.count())
+        return real(placed, requests, *rest)
+
+    monkeypatch.setattr(topk, "_searched", seen)
+    rng = random.Random(5)
+    mids = [[rng.choice([-3, 3]) for _ in range(8)] for _ in range(20)]
+    rows = [(20 * j + i, [m + rng.gauss(0, 0.1) for m in mids[i]]) for i in range(20) for j in range(20)]
+    check(spark, rows, rows[::9])
+    groups, queries = math.ceil(len(rows) / 16), len(rows[::9])
+    assert len(sent) == 2 and sum(sent) < 0.3 * groups * queries
+
+
+@pytest.mark.parametrize("bounds", [1, 3])
+def test_runs_of_groups(spark, monkeypatch, bounds):
+    for name, value in (("BLOCK", 2), ("GROUP", 2), ("CHUNK", 5), ("BOUNDS", bounds)):
+        monkeypatch.setattr(topk, name, value)
+    rows = vectors(random.Random(bounds), 50)
+    check(spark, rows, rows[::5])
 
 
 def test_query_matches_sql(spark, sf, duck):
