@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataquery.llm.common import arrow_udf, col
+from strataquery.llm.common import arrow_udf, col, narrow
 
 SHRINKAGE = 0.3
 STATISTICS = 8
@@ -104,7 +104,11 @@ def learned(sums: dict[int, tuple[int, np.ndarray, np.ndarray]], shrinkage: floa
 def fit(documents: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "quality", shrinkage: float = SHRINKAGE) -> Quadratic:
     """Learn from the documents whose id is in ``labels`` (doc_id and the label column)."""
     marked = labels.select(col(doc_id).alias("id"), col(label).cast("int").alias("y")).where("y in (0, 1) and id is not null")
-    rows = documents.select(col(doc_id).alias("id"), statistics_of(col(text)).alias("x")).join(marked, "id").select("y", "x")
+    texts = documents.select(col(doc_id).alias("id"), col(text).alias("text"))
+    if narrow(marked):  # only labelled texts are measured, where they are read
+        rows = texts.join(F.broadcast(marked), "id").select("y", statistics_of(F.col("text")).alias("x"))
+    else:
+        rows = texts.select("id", statistics_of(F.col("text")).alias("x")).join(marked, "id").select("y", "x")
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {}
