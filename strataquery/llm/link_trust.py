@@ -13,7 +13,9 @@ Links are the absolute and protocol-relative addresses in href and src
 attributes of the page, between different hosts; a link counts once for each
 page that has it. All sums are of whole numbers (the mass is ``MASS`` grains),
 so the order of additions doesn't matter and reruns agree. Steps go on until
-what is still to move is less than ``SETTLED`` of an even share. Only built-in expressions are used; the graph's rows are host pairs.
+what is still to move is less than ``SETTLED`` of an even share, so hosts any
+number of links away are reached. Only built-in expressions are used; the
+graph's rows are host pairs.
 
 Rules are a driver-side list, so a bounded parameter. A rule fits its host and
 all its subdomains if the path starts with the rule's; the longest fitting
@@ -21,8 +23,9 @@ rule wins, by characters, then by code points.
 
 Defined results: a null URL or one without ``://`` has empty host and path and
 is allowed unless a rule says otherwise; null html has no links. Repeated rows
-get equal verdicts and each counts as a page. An empty table gives none.
-Other columns pass through if the caller keeps them.
+get equal verdicts and each counts as a page. Very long URLs and pages are read
+whole. An empty table gives none. Other columns pass through, whatever their
+names; a result takes the place of a column of its name.
 """
 
 from __future__ import annotations
@@ -33,17 +36,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataquery.llm.common import col, cut_lineage, lower_ascii
+from strataquery.llm.common import col, cut_lineage, lower_ascii, unpacked
 
 Rule = tuple[str, str]  # ("allow" or "block", host and path as in "example.com/en/")
 
 MASS = 1 << 40
-#: Steps of the SQL that checks the query; the operator itself goes on until the mass settles.
-STEPS = 10
 FOLLOW = 0.85
 THRESHOLD = 1.0
 SETTLED = 0.001
 
+RESULTS = ("host", "path", "rule", "verdict")
+
 
 def host_of(url: Column) -> Column:
     return F.coalesce(lower_ascii(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)), F.lit(""))
@@ -126,9 +129,10 @@ def host_verdicts(pages: DataFrame, rules: Sequence[Rule], *, url: str = "url",
 
 def judge(pages: DataFrame, rules: Sequence[Rule], *, url: str = "url", html: str = "html", **options) -> DataFrame:
     """``pages`` without html and with host, path, rule and verdict."""
-    blocked = host_verdicts(pages, rules, url=url, html=html, **options).select(F.col("host").alias("_blocked"))
-    host, path = host_of(col(url)), path_of(col(url))
+    names = [c for c in pages.columns if c != html]
+    blocked = host_verdicts(pages, rules, url=url, html=html, **options).select(F.col("host").alias("blocked"))
+    rows = pages.select(F.struct(*[col(c) for c in names]).alias("row"), host_of(col(url)).alias("host"), path_of(col(url)).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    kept = [col(c) for c in pages.columns if c not in (html, "host", "path", "rule", "verdict")]
-    judged = pages.select(*kept, host.alias("host"), path.alias("path")).join(blocked, F.col("host") == F.col("_blocked"), "left")
-    return judged.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col("_blocked").isNotNull(), "block").otherwise("allow"))}).drop("_blocked")
+    spread = F.when(F.col("blocked").isNotNull(), "block").otherwise("allow")
+    judged = rows.join(blocked, F.col("host") == F.col("blocked"), "left")
+    return judged.select(*unpacked(names, RESULTS), "host", "path", rule.alias("rule"), F.coalesce(verdict, spread).alias("verdict"))

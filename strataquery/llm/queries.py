@@ -162,21 +162,27 @@ FROM b
 """.replace("{words}", _WORDS)
 
 
+#: Steps of the SQL: as many as the operator's bound on its own, for up to a million hosts.
+_STEPS = 300
+
+
 def _trust_sql() -> str:
-    step = """
-reached{k} AS (
-  SELECT b AS host, sum(floor(mass * share * CAST(0.85 AS DOUBLE))) AS reached
-  FROM {e} JOIN mass{p} ON a = host GROUP BY b),
-mass{k} AS (
-  SELECT host, sum(mass) AS mass FROM (
-    SELECT host, floor(seed * ((1099511627776 - (SELECT coalesce(sum(reached), 0) FROM reached{k})) / CAST(1099511627776 AS DOUBLE))) AS mass FROM seeds{s}
-    UNION ALL SELECT host, reached FROM reached{k}) GROUP BY host)"""
-    chains = []
-    for s, e in (("t", "forth"), ("d", "back")):
-        chains.append(f"mass{s}0 AS (SELECT host, seed AS mass FROM seeds{s})")
-        for k in range(1, link_trust.STEPS + 1):
-            chains.append(step.format(k=f"{s}{k}", p=f"{s}{k - 1}", s=s, e=e).strip())
-    cases, hosts = [], "lower(host)"
+    # each step sees the step before it only
+    chain = """
+{m} AS (
+  SELECT 0 AS k, host, seed AS mass, CAST(0 AS DOUBLE) AS reached FROM {seeds}
+  UNION ALL (
+  WITH moved AS (
+    SELECT m.k + 1 AS k, b AS host, sum(floor(mass * share * CAST(0.85 AS DOUBLE))) AS reached
+    FROM {m} m JOIN {edges} ON a = m.host WHERE m.k < {steps} GROUP BY m.k, b),
+  n AS (SELECT max(k) + 1 AS k FROM {m}),
+  back AS (SELECT (1099511627776 - coalesce(sum(reached), 0)) / CAST(1099511627776 AS DOUBLE) AS part FROM moved)
+  SELECT k, host, sum(mass) AS mass, sum(reached) AS reached FROM (
+    SELECT k, host, reached AS mass, reached FROM moved
+    UNION ALL SELECT n.k, host, floor(seed * part) AS mass, CAST(0 AS DOUBLE) FROM {seeds}, back, n WHERE n.k <= {steps})
+  GROUP BY k, host))"""
+    chains = [chain.format(m=m, seeds=s, edges=e, steps=_STEPS).strip() for m, s, e in (("trusted", "seedst", "forth"), ("distrusted", "seedsd", "back_edges"))]
+    cases = []
     for word, text in sorted(URL_RULES, key=lambda r: (-len(r[1]), r[1])):
         name, slash, rest = text.partition("/")
         cases.append((f"(host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{slash + rest}')", text, word))
@@ -185,7 +191,7 @@ mass{k} AS (
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     host = "coalesce(" + lower.format(r"regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)") + ", '')"
     return rf"""
-WITH p AS (
+WITH RECURSIVE p AS (
   SELECT page_id, html, {host} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 r AS (SELECT *, {rule} AS rule, {word} AS word FROM p),
 known AS (
@@ -194,13 +200,13 @@ linked AS (
   SELECT host AS a, unnest(list_distinct(list_transform(regexp_extract_all(coalesce(html, ''), '(?i)(?:href|src)\s*=\s*["'']?(?:https?:)?//([^/?#"''\s<>]+)', 1), lambda x: {lower.format("x")}))) AS b FROM p),
 edges AS (SELECT a, b, count(*) AS n FROM linked WHERE a <> b AND a <> '' GROUP BY a, b),
 forth AS (SELECT a, b, n / CAST(sum(n) OVER (PARTITION BY a) AS DOUBLE) AS share FROM edges),
-back AS (SELECT b AS a, a AS b, n / CAST(sum(n) OVER (PARTITION BY b) AS DOUBLE) AS share FROM edges),
+back_edges AS (SELECT b AS a, a AS b, n / CAST(sum(n) OVER (PARTITION BY b) AS DOUBLE) AS share FROM edges),
 seedst AS (SELECT host, floor(CAST(1099511627776 AS DOUBLE) * good / CAST(sum(good) OVER () AS DOUBLE)) AS seed FROM known WHERE good > 0),
 seedsd AS (SELECT host, floor(CAST(1099511627776 AS DOUBLE) * bad / CAST(sum(bad) OVER () AS DOUBLE)) AS seed FROM known WHERE bad > 0),
 {", ".join(chains)},
 blocked AS (
-  SELECT d.host FROM reachedd{link_trust.STEPS} d LEFT JOIN masst{link_trust.STEPS} t USING (host)
-  WHERE d.reached > coalesce(t.mass, 0) AND d.reached > CAST(1 AS DOUBLE) * (1099511627776 / CAST(greatest(1, (SELECT count(*) FROM known)) AS DOUBLE)))
+  SELECT d.host FROM distrusted d LEFT JOIN trusted t ON t.host = d.host AND t.k = {_STEPS} AND EXISTS (SELECT * FROM edges)
+  WHERE d.k = {_STEPS} AND d.reached > coalesce(t.mass, 0) AND d.reached > CAST(1 AS DOUBLE) * (1099511627776 / CAST(greatest(1, (SELECT count(*) FROM known)) AS DOUBLE)))
 SELECT page_id, host, path, rule, coalesce(word, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM r
 """
 

@@ -6,11 +6,11 @@ import pytest
 from strataquery.llm import link_trust as lt
 from strataquery.llm.queries import URL_RULES
 
-SCHEMA = "page_id long, url string, html string, verdict string, good string, row string"
+SCHEMA = "page_id long, url string, html string, verdict string, good string, row string, _blocked string, HOST string, blocked string"
 
 
 def table(spark, rows):
-    return spark.createDataFrame([(i, u, h, "x", "x", "x") for i, (u, h) in enumerate(rows)], SCHEMA)
+    return spark.createDataFrame([(i, u, h, *"xxxxxx") for i, (u, h) in enumerate(rows)], SCHEMA)
 
 
 @pytest.mark.parametrize(
@@ -37,7 +37,7 @@ def test_rules(spark, url, rule, verdict):
     assert (row["rule"], row["verdict"]) == (rule, verdict)
 
 
-def plain(pages, rules, steps=lt.STEPS):
+def plain(pages, rules, steps=300):
     """Hosts that the method blocks."""
     import re
 
@@ -120,10 +120,22 @@ def test_random_graphs(spark):
         assert {r["host"] for r in lt.host_verdicts(table(spark, pages), URL_RULES).collect()} == plain(pages, URL_RULES)
 
 
+def test_a_chain_of_30_hosts_has_its_settled_order(spark):
+    """h0 links to h1, h1 to h2 and so on; h25 is blocked. Distrust falls with each link back, down to h0."""
+    pages = [(f"http://h{i}.io/", link(f"h{i + 1}.io")) for i in range(29)] + [("http://h29.io/", "")]
+    got = {r["host"]: r["distrust"] for r in lt.host_verdicts(table(spark, pages), [("block", "h25.io/")], threshold=0.0).collect()}
+    assert set(got) == {f"h{i}.io" for i in range(25)}
+    assert sorted(got, key=got.get) == [f"h{i}.io" for i in range(25)]
+    # of the mass at a host 85 % go on, the rest and what reaches the end return to the seed
+    whole = sum(lt.FOLLOW**k for k in range(26))
+    for i in range(25):
+        assert got[f"h{i}.io"] == pytest.approx(lt.MASS * lt.FOLLOW ** (25 - i) / whole, abs=2 * lt.SETTLED * lt.MASS / 30)
+
+
 def test_shape_and_empty_table(spark):
     df = table(spark, PAGES)
     got = lt.judge(df, URL_RULES)
-    assert got.columns == ["page_id", "url", "good", "row", "host", "path", "rule", "verdict"] and got.count() == len(PAGES)
+    assert got.columns == ["page_id", "url", "good", "row", "_blocked", "blocked", "host", "path", "rule", "verdict"] and got.count() == len(PAGES)
     assert lt.judge(df.limit(0), URL_RULES).count() == 0
     with pytest.raises(ValueError):
         lt.judge(df, [("maybe", "com/")])
