@@ -27,6 +27,7 @@ from strataquery.sources import extract, files, history, project
 from strataquery.sources.hadoop import Folder
 from strataquery.sources.progress import Progress
 from strataquery.sources.store import PartitionStore
+from strataquery.streaming.watch import Watcher
 
 #: Schema generation of the stored tables.
 SCHEMA_VERSION = 6
@@ -212,7 +213,14 @@ class Engine:
             if self.settings.vector_storage == "float16":
                 chunk_rows = chunk_rows.withColumn("vector", vectors.half_precision(F.col("vector")))
             rows = {"files": fresh.unionByName(again.select(*fresh.columns)), "chunks": chunk_rows, "references": extract.reference_rows(parsed), "postings": extract.posting_rows(chunk_rows)}
+            phases = {}
+            for phase, table in (("scan", scanned), ("read", read), ("extract", parsed)):
+                began = time.monotonic()
+                table.count()
+                phases[phase] = int(1000 * (time.monotonic() - began))
+            began = time.monotonic()
             version = store.commit(rows, replaced=parsed.select("file_id"), removed=gone.select("file_id"), only={"files": again.select("file_id")})
+            phases["commit"] = int(1000 * (time.monotonic() - began))
             done = parsed.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("error").isNotNull()).alias("bad"), F.coalesce(F.sum(F.size("chunks")), F.lit(0)).alias("chunks"), F.coalesce(F.sum(F.size("rows")), F.lit(0)).alias("rows")).first()
             skipped = changes.skip_report(scanned.where("status != 'candidate'").select(F.col("status").alias("reason"), "path")).collect()
             seen = scanned.count()
@@ -221,7 +229,7 @@ class Engine:
             return {
                 "files_seen": seen, "files_indexed": done["n"] - done["bad"], "files_unchanged": listed - done["n"], "files_removed": gone.count() if version else 0, "files_failed": done["bad"],
                 "chunks": done["chunks"], "references": done["rows"], "skipped": sum(r["files"] for r in skipped), "skip_reasons": json.dumps({r["reason"]: r["files"] for r in skipped}),
-                "skip_samples": json.dumps([p for r in skipped for p in r["sample"].split(" ")][:20]), "errors": json.dumps(errors), "version": version,
+                "skip_samples": json.dumps([p for r in skipped for p in r["sample"].split(" ")][:20]), "errors": json.dumps(errors), "version": version, "phase_durations": json.dumps(phases),
             }
         finally:
             for kept in cached:
@@ -578,14 +586,23 @@ class Engine:
 
     # -- continuous refresh -----------------------------------------------
 
-    def watch(self, selector: str, passes: int, interval: float = 0.25) -> int:
-        """Poll a project and index when files moved on; a change during a run is seen by the next pass. The number of runs."""
-        runs = 0
-        for _ in range(passes):
-            self._fresh.pop(self.resolve(selector).id, None)
-            if self.is_stale(selector):
-                self.index_project(selector, trigger="watcher")
+    def watch(self, selector: str, passes: int, interval: float = 0.25, **options) -> int:
+        """Look at a project's tree every ``interval`` seconds and index it when a ``Watcher`` says so; the number of runs."""
+        own, runs = self.resolve(selector), 0
+
+        def run() -> None:
+            nonlocal runs
+            self._fresh.pop(own.id, None)
+            if self.is_stale(own.id):
+                self.index_project(own.id, trigger="watcher")
                 runs += 1
+
+        watcher, seen = Watcher(run, **options), None
+        for _ in range(passes):
+            now = files.tree_mark(own.root)
+            if now != seen:
+                watcher.notice()
+            seen = now
+            watcher.step()
             time.sleep(interval)
         return runs
-

@@ -221,13 +221,13 @@ class SignIndex:
     def neighbours(self, queries: DataFrame, k: int) -> DataFrame:
         """query, key, score and rank of about the ``k`` nearest by cosine."""
         sides = self._sides(F.col(self.vector))
-        coded = self.vectors.select(F.col(self.key).alias("key"), F.col(self.vector).alias("v"), F.posexplode(F.transform(sides, self._code)).alias("table", "code"))
-        asked = queries.select(F.col(self.key).alias("query"), F.col(self.vector).alias("q"), F.posexplode(sides).alias("table", "sides"))
-        unsure = F.slice(F.array_sort(F.transform("sides", lambda x, i: F.struct(F.abs(x).alias("d"), i.alias("i")))), 1, self.probes)
-        codes = F.concat(F.array(self._code(F.col("sides"))), F.transform(unsure, lambda u: self._code(F.col("sides")).bitwiseXOR(F.shiftleft(F.lit(1), self.bits - 1 - u["i"]))))
-        met = asked.select("query", "q", "table", F.explode(codes).alias("code")).join(coded, ["table", "code"]).select("query", "key", "q", "v").dropDuplicates(["query", "key"])
+        coded = self.vectors.select(F.col(self.key).alias("key"), F.col(self.vector).alias("_v"), F.posexplode(F.transform(sides, self._code)).alias("_table", "_code"))
+        asked = queries.select(F.col(self.key).alias("query"), F.col(self.vector).alias("_q"), F.posexplode(sides).alias("_table", "_sides"))
+        unsure = F.slice(F.array_sort(F.transform("_sides", lambda x, i: F.struct(F.abs(x).alias("d"), i.alias("i")))), 1, self.probes)
+        codes = F.concat(F.array(self._code(F.col("_sides"))), F.transform(unsure, lambda u: self._code(F.col("_sides")).bitwiseXOR(F.shiftleft(F.lit(1), self.bits - 1 - u["i"]))))
+        met = asked.select("query", "_q", "_table", F.explode(codes).alias("_code")).join(coded, ["_table", "_code"]).select("query", "key", "_q", "_v").dropDuplicates(["query", "key"])
         order = Window.partitionBy("query").orderBy(F.col("score").desc(), "key")
-        found = met.select("query", "key", cosine(F.col("q"), F.col("v")).alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        found = met.select("query", "key", cosine(F.col("_q"), F.col("_v")).alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         full = found.where(F.col("rank") == k).select(F.col("query").alias(self.key))
         short = queries.join(full, self.key, "left_anti")
         return found.join(full.withColumnRenamed(self.key, "query"), "query", "left_semi").unionByName(exact_neighbours(self.vectors, short, self.key, self.vector, k))

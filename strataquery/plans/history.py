@@ -295,3 +295,11 @@ def active_slot_join(t: Tables) -> DataFrame:
     slots = t.customer.select("c_custkey", F.col("c_custkey").alias("slot_id"), F.col("c_nationkey").alias("project_id"))
     named = t.customer.where("c_acctbal > 0 AND c_mktsegment = 'MACHINERY'").groupBy(F.col("c_nationkey").alias("project_id")).agg(F.max("c_custkey").alias("slot_id"), F.count(F.lit(1)).alias("activation_epoch"))
     return graphs.active(slots, named).drop("slot_id")
+
+
+@query("SELECT user_id AS project_id, event_type AS phase, CAST(sum(k) AS BIGINT) AS total_ms, count(*) AS runs FROM (SELECT user_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY user_id, event_type")
+def phase_rollup(t: Tables) -> DataFrame:
+    from strataquery.sources.history import phase_totals
+
+    spent = F.to_json(F.create_map("event_type", F.from_json("props", "k long")["k"]))
+    return phase_totals(t.events.select(F.col("user_id").alias("project_id"), spent.alias("phase_durations")))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import subprocess
+import zlib
 from collections.abc import Iterator, Sequence
+from contextlib import suppress
 from pathlib import Path, PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +59,17 @@ def walk_paths(root: Path, ignore_name: str = ".gitignore") -> Iterator[tuple[st
     yield from visit(root, [])
 
 
+def tree_mark(root: str) -> int:
+    """A number that changes when a file below ``root`` is added, removed or written. No content is read."""
+    top, mark = Path(root).resolve(), 0
+    for path, ignored in walk_paths(top):
+        if not ignored:
+            with suppress(OSError):
+                stat = os.lstat(top / path)
+                mark ^= zlib.crc32(f"{path} {stat.st_size} {stat.st_mtime_ns}".encode())
+    return mark
+
+
 def scan(spark: SparkSession, root: str, *, excludes: Sequence[str] = ()) -> DataFrame:
     """One row a path: facts of the file, without its content.
 
@@ -114,6 +127,8 @@ def with_contents(spark: SparkSession, root: str, wanted: DataFrame) -> DataFram
                 try:
                     content.append((Path(top) / PurePosixPath(path)).read_bytes())
                 except OSError:
+                    if not os.path.isdir(top):  # not this file's fault
+                        raise RuntimeError(f"the project folder {top} can't be reached from this executor") from None
                     content.append(None)
             yield frame.assign(content=content)
 

@@ -42,6 +42,12 @@ def interrupted(runs: DataFrame, live: Sequence[int]) -> DataFrame:
     return runs.withColumn("state", F.when(gone, "interrupted").otherwise(F.col("state")))
 
 
+def phase_totals(runs: DataFrame, group: str = "project_id") -> DataFrame:
+    """Wall time of each phase over all runs of a group, in milliseconds, and the runs that have it."""
+    spent = runs.select(group, F.explode(F.from_json("phase_durations", "map<string, bigint>")).alias("phase", "ms"))
+    return spent.groupBy(group, "phase").agg(F.sum("ms").alias("total_ms"), F.count(F.lit(1)).alias("runs"))
+
+
 def parsed(runs: DataFrame) -> DataFrame:
     """JSON columns as maps and arrays."""
     maps = {c: F.from_json(c, "map<string, bigint>") for c in ("skip_reasons", "phase_durations", "storage_before", "storage_after")}

@@ -147,9 +147,9 @@ def test_lazy_mode_and_watch(spark, tree, tmp_path):
     change(tree / "main.py", "def fresh_thing(): pass\n")
     engine._fresh.clear()
     assert engine.find_symbol("fresh_thing", "demo")
-    assert engine.watch("demo", passes=2, interval=0) == 0
+    assert engine.watch("demo", passes=2, interval=0, debounce=0) == 0
     change(tree / "main.py", "def later(): pass\n")
-    assert engine.watch("demo", passes=2, interval=0) == 1
+    assert engine.watch("demo", passes=2, interval=0, debounce=0) == 1
 
 
 def test_branches_have_slots_of_their_own(engine, tree):
