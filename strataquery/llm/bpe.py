@@ -108,8 +108,10 @@ class ForcedCutBPE:
         self.pattern = regex.compile(PIECES)
         self._pieces = _Memory(self._encode_piece)
         self._fragments = _Memory(self._encode_fragment)
-        #: Tokens of each piece.
-        self.counts = _Memory(lambda piece: len(self._encode_piece(piece)) >> 2)
+        #: Tokens of each piece; no piece of ordinary text equals an added token.
+        self.counts = _Memory(lambda piece: 1 if piece in self._added else len(self._encode_piece(piece)) >> 2)
+        #: Characters of the longest added token.
+        self.longest_added = max(map(len, added), default=0)
 
     def fragments(self, piece: bytes) -> list[bytes]:
         """Cut where the bytes on both sides are neighbours in no token."""
@@ -142,18 +144,33 @@ class ForcedCutBPE:
             return (m.group() for m in self.pattern.finditer(text))
         return self.pattern.findall(text)
 
-    def pieces_from(self, text: str, start: int) -> Iterator[str]:
-        """Pre-tokens of ``text`` from the boundary ``start`` on, found as they are asked for."""
+    def pieces_from(self, text: str, start: int = 0, special: bool = False) -> Iterator[str]:
+        """Pre-tokens of ``text`` from the boundary ``start`` on, found as they are asked for; with ``special``, added tokens are pieces."""
+        if special and self.has_added(text):
+            return self._with_added(text, start)
+        return self._plain_from(text, start, len(text))
+
+    def has_added(self, text: str) -> bool:
+        return any(c in text for c in self._added)
+
+    def _plain_from(self, text: str, start: int, end: int) -> Iterator[str]:
         if _odd(text, start):
-            return iter(self.pieces(text[start:]))
-        return (m.group() for m in self.pattern.finditer(text, start))
+            return iter(self.pieces(text[start:end]))
+        return (m.group() for m in self.pattern.finditer(text, start, end))
+
+    def _with_added(self, text: str, start: int) -> Iterator[str]:
+        for m in self._added_at.finditer(text, start):
+            yield from self._plain_from(text, start, m.start())
+            yield m.group()
+            start = m.end()
+        yield from self._plain_from(text, start, len(text))
 
     def _encode_plain(self, text: str) -> bytes:
         return b"".join(map(self._pieces.__getitem__, self.pieces(text)))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; strings of added tokens become those tokens."""
-        if self._added_at and any(c in text for c in self._added):
+        if self.has_added(text):
             return b"".join(self._added[part] if part in self._added else self._encode_plain(part) for part in self._added_at.split(text) if part)
         return self._encode_plain(text)
 

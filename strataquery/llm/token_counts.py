@@ -8,11 +8,13 @@ between and adds the difference to the sums on the paths to the root. All
 other blocks keep their counts unread.
 
 Why it is exact: pieces are found from left to right without looking back, and
-whether a piece ends at p depends on no character past p + 1. So pieces that
-end two characters or more before an edit stand, and from a point behind the
-edit where a piece starts in both texts, all later pieces are the same.
+whether a piece ends at p depends on no character past p + 1, or past p plus
+the length of an added token. So pieces that end further before an edit stand,
+and from a point behind the edit where a piece starts in both texts, all later
+pieces are the same.
 
-Texts count as ordinary text: strings of special tokens aren't special here.
+With ``special``, the default, strings of added tokens are those tokens, as
+operator 5 encodes them; without it they are ordinary text.
 
 Edits are applied in order; each is (start, removed, inserted), in characters
 of the text as the edits before it left it. Starts and lengths beyond the text
@@ -94,10 +96,10 @@ class SegmentTree:
         return own
 
 
-def build(text: str, own: ForcedCutBPE) -> SegmentTree:
+def build(text: str, own: ForcedCutBPE, special: bool = True) -> SegmentTree:
     """Tree of a whole text; the pieces of a long text are taken block by block."""
     chars, tokens = [], []
-    pieces = own.pieces(text)
+    pieces = own.pieces_from(text, 0, True) if special and own.has_added(text) else own.pieces(text)
     if isinstance(pieces, list):
         blocks = (pieces[i : i + BLOCK] for i in range(0, len(pieces), BLOCK))
     else:
@@ -108,19 +110,19 @@ def build(text: str, own: ForcedCutBPE) -> SegmentTree:
     return SegmentTree(chars, tokens)
 
 
-def edit(text: str, tree: SegmentTree, start: int, removed: int, inserted: str, own: ForcedCutBPE) -> tuple[str, SegmentTree, int]:
+def edit(text: str, tree: SegmentTree, start: int, removed: int, inserted: str, own: ForcedCutBPE, special: bool = True) -> tuple[str, SegmentTree, int]:
     """Text and tree after one edit, and the characters that were encoded for it."""
     start = min(max(start, 0), len(text))
     end = min(start + max(removed, 0), len(text))
     new = text[:start] + inserted + text[end:]
     shift = len(new) - len(text)
-    first, begin = tree.find(max(0, start - 2))
+    first, begin = tree.find(max(0, start - 2 - (own.longest_added if special else 0)))
     leaf, border = first, begin + tree.chars[tree.width + first]
     while border < end and leaf + 1 < tree.leaves:  # borders behind the edit are borders that may stand
         leaf += 1
         border += tree.chars[tree.width + leaf]
     pieces, at = [], begin
-    for piece in own.pieces_from(new, begin):
+    for piece in own.pieces_from(new, begin, special):
         while at > border + shift and leaf + 1 < tree.leaves:
             leaf += 1
             border += tree.chars[tree.width + leaf]
@@ -143,7 +145,7 @@ def edit(text: str, tree: SegmentTree, start: int, removed: int, inserted: str,
     return new, tree, at - begin
 
 
-def trees(text: Column, path: str | None = None) -> Column:
+def trees(text: Column, path: str | None = None, special: bool = True) -> Column:
     """Packed tree of each text: leaf count, character sums, token sums."""
     path = path or default_vocabulary()
 
@@ -151,12 +153,12 @@ def trees(text: Column, path: str | None = None) -> Column:
     def make(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = coder(path)
         for part in parts:
-            yield pa.array([build(x or "", own).packed() for x in part.to_pylist()], pa.list_(pa.int64()))
+            yield pa.array([build(x or "", own, special).packed() for x in part.to_pylist()], pa.list_(pa.int64()))
 
     return make(text)
 
 
-def edited(text: Column, tree: Column, edits: Column, path: str | None = None) -> Column:
+def edited(text: Column, tree: Column, edits: Column, path: str | None = None, special: bool = True) -> Column:
     """Struct of the edited text, its tree, the tokens before, and the characters encoded for the edits.
 
     Where the tree is null it is built first.
@@ -170,11 +172,11 @@ def edited(text: Column, tree: Column, edits: Column, path: str | None = None) -
             out: list[list] = [[], [], [], []]
             for now, state, todo in zip(texts.to_pylist(), packed.to_pylist(), changes.to_pylist()):
                 now, cost = now or "", 0
-                state = build(now, own) if state is None else SegmentTree.unpacked(state)
+                state = build(now, own, special) if state is None else SegmentTree.unpacked(state)
                 before = state.total
                 for e in todo or []:
                     if e is not None:
-                        now, state, chars = edit(now, state, e["start"] or 0, e["removed"] or 0, e["inserted"] or "", own)
+                        now, state, chars = edit(now, state, e["start"] or 0, e["removed"] or 0, e["inserted"] or "", own, special)
                         cost += chars
                 for column, value in zip(out, (now, state.packed(), before, cost)):
                     column.append(value)
@@ -190,12 +192,12 @@ def token_total(tree: Column) -> Column:
     return F.get(tree, nodes + 2)
 
 
-def with_trees(df: DataFrame, *, text: str = "text", into: str = "tree", path: str | None = None) -> DataFrame:
+def with_trees(df: DataFrame, *, text: str = "text", into: str = "tree", path: str | None = None, special: bool = True) -> DataFrame:
     """``df`` with each text's tree; keep it beside the text to count later edits."""
-    return df.withColumn(into, trees(col(text), path))
+    return df.withColumn(into, trees(col(text), path, special))
 
 
-def apply_edits(df: DataFrame, edits: str, *, text: str = "text", tree: str | None = None, into: str = "edited", path: str | None = None) -> DataFrame:
+def apply_edits(df: DataFrame, edits: str, *, text: str = "text", tree: str | None = None, into: str = "edited", path: str | None = None, special: bool = True) -> DataFrame:
     """``df`` with the struct ``into`` of ``edited`` after the column ``edits``; without a tree column the trees are built first."""
     state = F.lit(None).cast(TREE) if tree is None else col(tree)
-    return df.withColumn(into, edited(col(text), state, col(edits).cast(EDITS), path))
+    return df.withColumn(into, edited(col(text), state, col(edits).cast(EDITS), path, special))
