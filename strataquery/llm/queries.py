@@ -34,7 +34,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     slim = docs.select("doc_id", "lang", "source", "n_chars", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
-    cut = hilbert_shards.hilbert_shards(slim, {"lang": "hash", "source": "hash", "n_chars": "log"}, shards=8, ties=["text_crc32", "doc_id", "size"])
+    cut = hilbert_shards.hilbert_shards(slim, {"lang": "rank", "source": "rank", "n_chars": "log"}, shards=8, ties=["text_crc32", "doc_id", "size"])
     return cut.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
