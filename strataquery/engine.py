@@ -164,6 +164,7 @@ class Engine:
         reason = self.incompatibility(own.id)
         slot = self._activate(own)
         store = self._store(slot)
+        PartitionStore.check_merge(self.spark, self.folder.root)
         store.recover()
         store.lock()
         progress = Progress(self.folder, own.id)

@@ -108,6 +108,42 @@ def token_windows(tokens: Column, length: int, overlap: int) -> Column:
     return F.when(tokens > 0, windows).otherwise(F.array().cast("array<struct<part: int, first: int, n_tokens: int>>"))
 
 
+#: A word with the white space in front of it; the pieces of a text join to the text.
+PIECES = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z"
+
+
+def passage_windows(text: Column, length: int, overlap: int) -> Column:
+    """Structs (part, start_char, end_char, n_tokens) of windows of ``length`` words, placed by ``token_windows``.
+
+    An empty text has one empty window.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))
+    upto = lambda p, n: F.length(F.array_join(F.slice(p, F.lit(1), n), ""))
+    placed = lambda p: F.transform(
+        token_windows(F.size(p), length, overlap),
+        lambda w: F.struct(w["part"].alias("part"), upto(p, w["first"]).alias("start_char"), upto(p, w["first"] + w["n_tokens"]).alias("end_char"), w["n_tokens"].alias("n_tokens")),
+    )
+    none = F.array(F.struct(F.lit(0).alias("part"), F.lit(0).alias("start_char"), F.lit(0).alias("end_char"), F.lit(0).alias("n_tokens")))
+    return F.transform(F.array(pieces), lambda p: F.when(F.size(p) > 0, placed(p)).otherwise(none))[0]
+
+
+def window_chunks(chunks: DataFrame, windows: str, content: str = "content") -> DataFrame:
+    """A chunk for each window in the array ``windows``: its content, and its bytes and lines in the source.
+
+    Places follow from the window's characters and the chunk's own place, so
+    the file isn't read again. A chunk that one window covers is as it was.
+    """
+    each = chunks.withColumn("_w", F.explode(windows))
+    start, end = F.col("_w")["start_char"], F.col("_w")["end_char"]
+    head, own = F.substring(F.col(content), F.lit(1), start), F.substring(F.col(content), start + 1, end - start)
+    lines = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+    each = each.withColumns({"_head": head, "_own": own, "part_index": F.col("_w")["part"]})
+    first_byte, first_line = F.col("start_byte") + F.octet_length("_head"), F.col("start_line") + lines(F.col("_head"))
+    places = {"start_byte": first_byte, "end_byte": first_byte + F.octet_length("_own"), "start_line": first_line, "end_line": first_line + lines(F.col("_own"))}
+    cut = (start > 0) | (end < F.length(content))
+    return each.withColumns({k: F.when(cut, v).otherwise(F.col(k)) for k, v in places.items()}).withColumn(content, F.col("_own")).drop("_w", "_head", "_own", windows)
+
+
 def greedy_batches(sizes: Sequence[int], most_items: int, most_size: int) -> list[int]:
     """Batch number of each item in order: a batch closes before the item that would break a bound; an item over the bound is alone."""
     out, batch, items, size = [], 0, 0, 0

@@ -245,6 +245,22 @@ def greedy_line_windows(t: Tables) -> DataFrame:
     return windows.windows_of_lines(t.documents, "doc_id", "text")
 
 
+@query(r"""
+WITH p AS (SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z') AS pieces FROM documents),
+w AS (SELECT doc_id, text, pieces, len(pieces) AS n, unnest(range(0, 1 + greatest(len(pieces) - 1 - 16, 0) // 48)) AS part FROM p),
+c AS (SELECT doc_id, part, n, array_to_string(pieces[1:part * 48], '') AS head, array_to_string(pieces[part * 48 + 1:part * 48 + 64], '') AS own FROM w)
+SELECT doc_id, part, CAST(strlen(head) AS BIGINT) AS start_byte, CAST(strlen(head) + strlen(own) AS BIGINT) AS end_byte,
+       CAST(1 + length(head) - length(replace(head, chr(10), '')) AS BIGINT) AS start_line,
+       CAST(1 + length(head || own) - length(replace(head || own, chr(10), '')) AS BIGINT) AS end_line, sha256(own) AS content_hash FROM c""")
+def window_chunks(t: Tables) -> DataFrame:
+    """Documents as chunks of their own, rebuilt around windows of 64 words."""
+    lines = F.lit(1) + F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    chunks = t.documents.select("doc_id", F.col("text").alias("content"), F.lit(0).alias("start_byte"), F.octet_length("text").alias("end_byte"), F.lit(1).alias("start_line"), lines.alias("end_line"))
+    cut = windows.window_chunks(chunks.withColumn("windows", windows.passage_windows(F.col("content"), 64, 16)), "windows")
+    places = [F.col(c).cast("long").alias(c) for c in ("start_byte", "end_byte", "start_line", "end_line")]
+    return cut.select("doc_id", F.col("part_index").cast("long").alias("part"), *places, F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"))
+
+
 @query("""
 WITH RECURSIVE d AS (SELECT source, doc_id, CAST(ceil(n_chars / 4) AS BIGINT) AS s FROM documents),
 o AS (SELECT *, CASE WHEN s > 0 THEN length(bin(s)) ELSE 0 END AS b FROM d),

@@ -51,6 +51,8 @@ SEGMENTS, TIER = 12, 4
 
 
 class PartitionStore:
+    _checked = False
+
     def __init__(self, spark: SparkSession, root: str, tables: dict[str, str] | None = None, parent: str = "file_id"):
         self.spark, self.folder, self.tables, self.parent = spark, Folder(spark, root), tables or TABLES, parent
         self._token: str | None = None
@@ -272,6 +274,23 @@ class PartitionStore:
         self._publish(manifest, number, state)
         return number
 
+    @classmethod
+    def check_merge(cls, spark: SparkSession, root: str) -> None:
+        """Refuse to write where replacing one file's rows would touch another's. Done once a process, in a folder of its own."""
+        if cls._checked:
+            return
+        own = cls(spark, f"{root.rstrip('/')}/merge-{uuid.uuid4().hex}", {"chunks": "file_id string, chunk_id string"})
+        rows = lambda *pairs: spark.createDataFrame(list(pairs), "file_id string, chunk_id string")
+        try:
+            own.commit({"chunks": rows(("a", "1"), ("a", "2"), ("b", "3"))})
+            own.commit({"chunks": rows(("a", "4"))}, replaced=rows(("a", "")).select("file_id"))
+            kept = sorted(tuple(r) for r in own.read("chunks").collect())
+        finally:
+            own.drop()
+        if kept != [("a", "4"), ("b", "3")]:
+            raise EngineError("INDEX_INCOMPATIBLE", f"replacing a file's rows left {kept}")
+        cls._checked = True
+
     def vacuum(self, keep_hours: float = 168, now: float | None = None) -> int:
         """Forget versions older than ``keep_hours`` but the live one and those that journals name; the number forgotten.
 

@@ -143,6 +143,17 @@ def test_compaction_and_vacuum(spark, store):
     assert content(store) == [("a", "3")] and len(store.folder.names("segments")) == 2 and store.stats()["physical_bytes"] < before["physical_bytes"]
 
 
+def test_a_store_that_loses_siblings_is_refused(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(PartitionStore, "_checked", False)
+    PartitionStore.check_merge(spark, str(tmp_path))
+    assert PartitionStore._checked and not [p for p in tmp_path.iterdir() if p.name.startswith("merge-")]
+    monkeypatch.setattr(PartitionStore, "_checked", False)
+    monkeypatch.setattr(PartitionStore, "read", lambda self, table: spark.createDataFrame([("a", "4")], "file_id string, chunk_id string"))
+    with pytest.raises(EngineError) as error:
+        PartitionStore.check_merge(spark, str(tmp_path))
+    assert error.value.code == "INDEX_INCOMPATIBLE"
+
+
 def test_one_writer_at_a_time(store):
     store.lock()
     with pytest.raises(EngineError) as error:

@@ -81,3 +81,30 @@ def test_edits_without_span_all_stay(spark):
     rows = [("p", 1, 2, "a", "likely_change"), ("p", 1, 2, "b", "must_change"), ("p", None, None, "c", "review"), ("p", None, None, "d", "review"), ("q", 1, 2, "e", "override")]
     df = spark.createDataFrame(rows, "path string, start_byte long, end_byte long, reference_id string, bucket string")
     assert sorted(r["reference_id"] for r in windows.dedupe_edits(df).collect()) == ["b", "c", "d", "e"]
+
+
+def test_pack_in_pieces_equals_the_plain_batches(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(windows, "PIECE", 7)
+    rng = random.Random(4)
+    for padded in (False, True):
+        for most_items, most_size in ((3, 40), (5, 10_000), (1, 5), (9, 30)):
+            rows = [(g, i, rng.choice([0, 1, 5, 9, 17, 33, 200])) for g, n in (("a", 61), ("b", 3), (None, 15), ("c", 7)) for i in range(n)]
+            got = windows.pack(spark.createDataFrame(rows, "g string, i long, s long"), "g", "i", "s", most_items=most_items, most_size=most_size, padded=padded).collect()
+            plain = windows.padded_batches if padded else windows.greedy_batches
+            for g in ("a", "b", None, "c"):
+                own = sorted((r["i"], r["s"], r["batch"]) for r in got if r["g"] == g)
+                assert [b for *_, b in own] == plain([s for _, s, _ in own], most_items, most_size), (padded, most_items, g)
+
+
+def test_positions_over_small_ranges(spark, monkeypatch):
+    from strataquery.operators import ranges
+
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 5)
+    rows = [(g, i, i % 3 + 1) for g, n in (("a", 40), (None, 7), ("b", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, i long, w long")
+    got = {(r["g"], r["i"]): r["ahead"] for r in ranges.ahead(df, "g", ["i"]).collect()}
+    assert got == {(g, i): i for g, i, _ in rows}
+    got = {(r["g"], r["i"]): r["ahead"] for r in ranges.ahead(df, "g", ["i"], weight="w").collect()}
+    assert got == {(g, i): sum(k % 3 + 1 for k in range(i)) for g, i, _ in rows}
