@@ -203,7 +203,7 @@ class SignIndex:
     searched exactly, so none comes back short.
     """
 
-    def __init__(self, vectors: DataFrame, key: str, vector: str, *, width: int, tables: int = 12, bits: int = 8, probes: int = 4, seed: int = 7):
+    def __init__(self, vectors: DataFrame, key: str, vector: str, *, width: int, tables: int = 32, bits: int = 8, probes: int = 8, seed: int = 7):
         self.key, self.vector, self.bits, self.probes = key, vector, bits, probes
         drawn = random.Random(seed)
         self.planes = [[[drawn.gauss(0, 1) for _ in range(width)] for _ in range(bits)] for _ in range(tables)]
@@ -224,7 +224,8 @@ class SignIndex:
         coded = self.vectors.select(F.col(self.key).alias("key"), F.col(self.vector).alias("_v"), F.posexplode(F.transform(sides, self._code)).alias("_table", "_code"))
         asked = queries.select(F.col(self.key).alias("query"), F.col(self.vector).alias("_q"), F.posexplode(sides).alias("_table", "_sides"))
         unsure = F.slice(F.array_sort(F.transform("_sides", lambda x, i: F.struct(F.abs(x).alias("d"), i.alias("i")))), 1, self.probes)
-        codes = F.concat(F.array(self._code(F.col("_sides"))), F.transform(unsure, lambda u: self._code(F.col("_sides")).bitwiseXOR(F.shiftleft(F.lit(1), self.bits - 1 - u["i"]))))
+        places = F.array(*[F.lit(1 << (self.bits - 1 - i)) for i in range(self.bits)])
+        codes = F.concat(F.array(self._code(F.col("_sides"))), F.transform(unsure, lambda u: self._code(F.col("_sides")).bitwiseXOR(F.get(places, u["i"]))))
         met = asked.select("query", "_q", "_table", F.explode(codes).alias("_code")).join(coded, ["_table", "_code"]).select("query", "key", "_q", "_v").dropDuplicates(["query", "key"])
         order = Window.partitionBy("query").orderBy(F.col("score").desc(), "key")
         found = met.select("query", "key", cosine(F.col("_q"), F.col("_v")).alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
