@@ -6,7 +6,8 @@ to be set: a toxic training text has grade 2 if the share of its words that
 lean toxic is above the toxic texts' median. Which words lean so is learned
 from the other half of the training texts (halves by CRC-32 of the id), never
 from the text's own, and the share counts occurrences, which the model below
-doesn't see. So grade 2 is a matter of density; nobody labelled it.
+doesn't see. So grade 2 is a matter of density; nobody labelled it. Where no
+text is above the median nothing is strongly toxic.
 
 The model is P(grade > k) = logistic(w x - cut_k) with one weight vector for
 all cuts and rising cuts. x holds sparse features: whole words and their first
@@ -181,7 +182,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, text: str = "text", doc_id:
     counts = each.groupBy("f").agg(*[F.count_if((F.col("half") == h) & ((F.col("y") > 0) == kind)).alias(f"{c}{h}") for h in (0, 1) for c, kind in (("a", True), ("b", False))])
     odds, z = _leaning(F.col("a0") + F.col("a1"), F.col("b0") + F.col("b1"), sum(bad), sum(good))
     halves = [_leaning(F.col(f"a{h}"), F.col(f"b{h}"), bad[h], good[h])[1] for h in (0, 1)]
-    leans = [(F.col("z") >= LEAST_Z) & ~F.endswith("f", F.lit("~")) for z in ("z0", "z1")]
+    leans = [(F.col(z) >= LEAST_Z) & ~F.endswith("f", F.lit("~")) for z in ("z0", "z1")]
     found = counts.where(F.col("a0") + F.col("a1") + F.col("b0") + F.col("b1") >= LEAST_TEXTS).select("f", z.alias("z"), halves[0].alias("z0"), halves[1].alias("z1"))
     found = cut_lineage(found.select("f", "z", leans[0].alias("lean0"), leans[1].alias("lean1")).where((F.abs("z") >= LEAST_Z) | F.col("lean0") | F.col("lean1")))
     strong = found.where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "f").limit(most).collect()
@@ -200,10 +201,8 @@ def fit(documents: DataFrame, labels: DataFrame, *, text: str = "text", doc_id:
     if grades.max() < 2:
         share = np.array([(r["hits"] or 0) / max(1, r["tokens"]) for r in sets])
         grades = grades + ((grades == 1) & (share > np.median(share[grades == 1])))
-        if grades.max() < 2:
-            grades[int(np.argmax(np.where(grades == 1, share, -1)))] = 2
     weights, cuts = fit_ordinal(rows, grades, len(strong))
-    return Ordinal({r["f"]: float(w) for r, w in zip(strong, weights)}, tuple(float(c) for c in cuts))
+    return Ordinal({r["f"]: float(w) for r, w in zip(strong, weights)}, (*(float(c) for c in cuts), 500.0)[:2])
 
 
 def severity(text: Column, model: Ordinal) -> Column:
