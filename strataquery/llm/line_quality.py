@@ -35,8 +35,10 @@ LEAST_DOCUMENTS = 20
 SHARE = 0.0
 LEFT = 0.3
 WINDOW = 8
-#: Most texts with common lines, and most such lines of theirs in all, that are broadcast: a key and a host name, and 8 bytes.
-BROADCAST_TEXTS, BROADCAST_LINES = 50_000, 500_000
+#: Most common lines, and most hosts that have some, that are broadcast: 8 bytes a line and a name a host.
+BROADCAST_LINES, BROADCAST_HOSTS = 500_000, 20_000
+#: Common lines of a host that one lookup walks over.
+SLOT = 8
 
 
 def _words(text: Column) -> Column:
@@ -149,13 +151,26 @@ def common_lines(rows: DataFrame, least: int = LEAST_DOCUMENTS, share: float = S
     return common.select(F.col("host").alias("h"), F.col("line").alias("l"))
 
 
-def common_parts(df: DataFrame, *, text: str = "text", host: str = "source", least: int = LEAST_DOCUMENTS, share: float = SHARE, per: str = "texts") -> DataFrame:
+def common_parts(rows: DataFrame, common: DataFrame) -> DataFrame:
     """host, t1, t2, the common lines (array of hashes, at most the text's own) and the words in them, of each distinct text that has any."""
-    rows = text_lines(df, text=text, host=host)
-    found = rows.join(common_lines(rows, least, share, per), F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")))
-    parts = cut_lineage(found.groupBy("host", "t1", "t2").agg(F.sum("words").alias("removed"), F.collect_set("line").alias("common")))
-    texts, lines = parts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("common")), F.lit(0))).first()
-    return F.broadcast(parts) if texts <= BROADCAST_TEXTS and lines <= BROADCAST_LINES else parts
+    found = rows.join(common, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")))
+    return found.groupBy("host", "t1", "t2").agg(F.sum("words").alias("removed"), F.collect_set("line").alias("common"))
+
+
+def _slots(common: DataFrame) -> DataFrame | None:
+    """h and its common lines dealt by hash to arrays of about ``SLOT``; None if there are too many to broadcast."""
+    lines, hosts = common.agg(F.count(F.lit(1)), F.count_distinct(F.coalesce("h", F.lit("")))).first()
+    if lines > BROADCAST_LINES or hosts > BROADCAST_HOSTS:
+        return None
+    sizes = common.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / SLOT).cast("int").alias("slots")).withColumnRenamed("h", "g")
+    dealt = common.join(sizes, F.col("h").eqNullSafe(F.col("g"))).groupBy("h", "slots", F.pmod("l", "slots").cast("int").alias("slot")).agg(F.collect_list("l").alias("own"))
+    filled = dealt.groupBy("h", "slots").agg(F.map_from_entries(F.collect_list(F.struct("slot", "own"))).alias("by"))
+    none = F.array().cast("array<bigint>")
+    return filled.select("h", F.transform(F.sequence(F.lit(0), F.col("slots") - 1), lambda i: F.coalesce(F.try_element_at("by", i), none)).alias("slots"))
+
+
+def _is_common(line: Column) -> Column:
+    return F.array_contains(F.get("slots", F.pmod(line, F.size("slots")).cast("int")), line)
 
 
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
@@ -170,40 +185,56 @@ def _same_key() -> Column:
     return F.col("k_host").eqNullSafe(F.col("host")) & (F.col("k_t1") == F.col("t1")) & (F.col("k_t2") == F.col("t2"))
 
 
-def judge(df: DataFrame, *, text: str = "text", host: str = "source", left: float = LEFT, **limits) -> DataFrame:
+def _found(df: DataFrame, text: str, host: str, least: int, share: float, per: str) -> tuple[DataFrame, DataFrame]:
+    rows = text_lines(df, text=text, host=host)
+    return rows, cut_lineage(common_lines(rows, least, share, per))
+
+
+def judge(df: DataFrame, *, text: str = "text", host: str = "source", left: float = LEFT, least: int = LEAST_DOCUMENTS, share: float = SHARE, per: str = "texts") -> DataFrame:
     """``df`` without ``text`` and with the base facts, removed_words and kept; texts stay where they are read."""
     names = [c for c in df.columns if c != text]
     facts = df.select(F.struct(*[col(c) for c in names]).alias("row"), base_facts(col(text)).alias("facts"), *_key_of(col(host), col(text)))
-    out = facts.join(common_parts(df, text=text, host=host, **limits).drop("common"), _same_key(), "left")
+    out = facts.join(common_parts(*_found(df, text, host, least, share, per)).drop("common"), _same_key(), "left")
     gone, words = F.coalesce("removed", F.lit(0)).cast("long"), F.col("facts.n_words")
     kept = ~F.col("facts.base_failed") & ~(words - gone < left * words)
     return out.select(*unpacked(names, RESULTS), "facts.*", gone.alias("removed_words"), kept.alias("kept"))
 
 
-def _without(text: Column, common: Column) -> Column:
-    """The text without its common lines; as it is where ``common`` is null."""
-    rest = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(common, F.xxhash64(normal_line(x)))), "\n")
-    return F.when(common.isNull(), text).otherwise(rest)
-
+def _without(text: Column, is_common) -> Column:
+    """The text without the lines that ``is_common`` tells by their hash."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~is_common(F.xxhash64(normal_line(x)))), "\n")
 
-def _stripped(joined: DataFrame, names: list[str], text: str) -> DataFrame:
-    return joined.select(*[_without(field(c), F.col("common")).alias(c) if c == text else field(c).alias(c) for c in names])
 
+def _stripped(df: DataFrame, text: str, host: str, left: float | None, least: int, share: float, per: str) -> DataFrame:
+    """``df`` without common lines; with ``left``, without the documents that fail or are depleted.
 
-def clean(df: DataFrame, *, text: str = "text", host: str = "source", left: float = LEFT, **limits) -> DataFrame:
-    """Documents of ``df`` that are kept, with their columns; the common lines are taken out of their texts.
-
-    Both verdicts are about the whole text. While few texts have common lines,
-    these are broadcast and no text is shuffled; beyond that the join is a shuffle.
+    Common lines are looked up in a broadcast table of each host's. Where they
+    are too many for that, each text is joined with its own, by a shuffle.
     """
+    rows, common = _found(df, text, host, least, share, per)
+    body = field(text)
     # -1 for texts that fail; one condition over both sides of the join, so that no filter below it counts a text again
-    words = F.coalesce(let(_counted(F.coalesce(field(text), F.lit(""))), lambda c: F.when(_failed(c), -1).otherwise(c["n"])), F.lit(-1)).cast("long")
-    facts = packed(df).select("row", words.alias("n"), *_key_of(field(host), field(text)))
-    joined = facts.join(common_parts(df, text=text, host=host, **limits), _same_key(), "left")
-    return _stripped(joined.where(F.col("n") - F.coalesce("removed", F.lit(0)) >= left * F.col("n")), df.columns, text)
-
-
-def strip_common_lines(df: DataFrame, *, text: str = "text", host: str = "source", **limits) -> DataFrame:
+    words = F.lit(0) if left is None else F.coalesce(let(_counted(F.coalesce(body, F.lit(""))), lambda c: F.when(_failed(c), -1).otherwise(c["n"])), F.lit(-1))
+    facts = packed(df).select("row", words.cast("long").alias("n"), *_key_of(field(host), body))
+    if (slots := _slots(common)) is not None:
+        joined = facts.join(F.broadcast(slots), F.col("k_host").eqNullSafe(F.col("h")), "left")
+        touched = F.col("slots").isNotNull() & F.exists(distinct_lines(body), lambda x: _is_common(x["line"]))
+        rest = F.when(F.coalesce(touched, F.lit(False)), _without(body, _is_common)).otherwise(body)
+        removed = F.when(F.col("slots").isNotNull() & (F.col("n") > 0), F.aggregate(F.filter(distinct_lines(body), lambda x: _is_common(x["line"])), F.lit(0).cast("long"), lambda a, x: a + x["words"]))
+    else:
+        joined = facts.join(common_parts(rows, common), _same_key(), "left")
+        rest = F.when(F.col("common").isNull(), body).otherwise(_without(body, lambda h: F.array_contains("common", h)))
+        removed = F.col("removed")
+    if left is not None:
+        joined = joined.where(F.col("n") - F.coalesce(removed, F.lit(0)) >= left * F.col("n"))
+    return joined.select(*[rest.alias(c) if c == text else field(c).alias(c) for c in df.columns])
+
+
+def clean(df: DataFrame, *, text: str = "text", host: str = "source", left: float = LEFT, least: int = LEAST_DOCUMENTS, share: float = SHARE, per: str = "texts") -> DataFrame:
+    """Documents of ``df`` that are kept, with their columns; the common lines are taken out of their texts. Both verdicts are about the whole text."""
+    return _stripped(df, text, host, left, least, share, per)
+
+
+def strip_common_lines(df: DataFrame, *, text: str = "text", host: str = "source", least: int = LEAST_DOCUMENTS, share: float = SHARE, per: str = "texts") -> DataFrame:
     """``df`` with the common lines taken out of ``text``; a null text stays null."""
-    joined = packed(df).select("row", *_key_of(field(host), field(text))).join(common_parts(df, text=text, host=host, **limits), _same_key(), "left")
-    return _stripped(joined, df.columns, text)
+    return _stripped(df, text, host, None, least, share, per)

@@ -60,9 +60,10 @@ def test_common_lines_deplete_documents_of_their_host(spark):
     assert not any(want[str(100 + i)] for i in range(8)) and want["0"] and want["300"]
 
 
-@pytest.mark.parametrize("most", [0, 50_000])
+@pytest.mark.parametrize("most", [0, 500_000])
 def test_depleted_texts_go_with_and_without_broadcast(spark, monkeypatch, most):
-    monkeypatch.setattr(line_quality, "BROADCAST_TEXTS", most)
+    monkeypatch.setattr(line_quality, "BROADCAST_LINES", most)
+    monkeypatch.setattr(line_quality, "SLOT", 1)
     rng = random.Random(7)
     banner = line(rng, 30)
     rows = [(i, banner + "\n" + line(rng, 3 + i % 25), "ab"[i % 2]) for i in range(90)] + [(200 + i, line(rng, 30), None) for i in range(30)]
