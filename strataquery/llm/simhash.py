@@ -22,6 +22,7 @@ group's id is its smallest id that isn't null. Repeated rows stay repeated in
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataquery.llm.common import arrow_udf, col, cut_lineage, field, packed, unpacked
+from strataquery.llm.common import arrow_udf, bounded_broadcast, col, cut_lineage, field, packed, prepare_workers, unpacked
 
 BITS = 64
 #: Most distinct fingerprints under one variant that are compared pair by pair.
@@ -85,6 +86,40 @@ def _variants(fp: str, distance: int) -> Column:
     return F.array(*keys)
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (variant, key) of a sorted range whose variant occurs twice; and the first and last run, which may go on in the next range."""
+    last: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # the row held back, and whether the one before was its like
+    first_run: int | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        variant, key = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        like = np.zeros(len(variant), bool)
+        if last is not None:
+            variant, key, like = (np.concatenate([x, y]) for x, y in zip(last, (variant, key, like)))
+        first_run = int(variant[0]) if first_run is None else first_run
+        again = variant[1:] == variant[:-1]
+        like[1:] |= again
+        last = variant[-1:], key[-1:], like[-1:]
+        keep = (like[:-1] | again | (variant[:-1] == first_run)).nonzero()[0]
+        yield pa.RecordBatch.from_arrays([pa.array(variant[keep]), pa.array(key[keep])], names=["variant", "key"])
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(last[0]), pa.array(last[1])], names=["variant", "key"])
+
+
+def shared(index: DataFrame) -> DataFrame:
+    """Rows of ``index`` (variant, key; longs) whose variant occurs twice or more, and few others.
+
+    Rows are range-partitioned by both columns, so a variant that a third of
+    all keys have is spread over tasks; equal ones are neighbours then.
+    """
+    spark = index.sparkSession
+    prepare_workers(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = index.repartitionByRange(parts, "variant", "key").sortWithinPartitions("variant", "key")
+    return cut_lineage(ranges.mapInArrow(_runs, "variant long, key long"))
+
+
 def links(distinct: DataFrame, distance: int = 2, fp: str = "fp") -> DataFrame:
     """Edges (a, b), a below b, that join all fingerprints linked by chains of ``distance`` or fewer bits.
 
@@ -96,26 +131,16 @@ def links(distinct: DataFrame, distance: int = 2, fp: str = "fp") -> DataFrame:
     spark = distinct.sparkSession
     if distance == 0:
         return spark.createDataFrame([], "a long, b long")
-    order = Window.partitionBy("bit", "rest").orderBy(fp)
     # each row becomes 64: the number of tasks is set, as rows this narrow would be dealt to few
     distinct = distinct.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), fp)
-    met = (
-        distinct.select(fp, F.explode(_variants(fp, distance)).alias("k"))
-        .select(fp, "k.bit", "k.rest")
-        .withColumns({"n": F.count(F.lit(1)).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))} | {f"p{i}": F.lag(fp, i).over(order) for i in range(1, SMALL)})
-        .where("n > 1")
-    )
-    near = F.filter(F.array(*[f"p{i}" for i in range(1, SMALL)]), lambda x: x.isNotNull() & (_apart(x, F.col(fp)) <= distance))
-    found = met.select(
-        F.explode(
-            F.when(F.col("n") <= SMALL, F.transform(near, lambda x: F.struct(x.alias("a"), F.col(fp).alias("b")))).otherwise(
-                F.array(F.struct(F.lit(None).cast("long").alias("a"), F.col(fp).alias("b")))
-            )
-        ).alias("e")
-    ).select("e.a", "e.b")
-    found = cut_lineage(found.distinct())
-    pairs = found.where("a is not null")
-    return pairs.unionByName(_ties(found.where("a is null").select(F.col("b").alias(fp)), distance, fp)).distinct()
+    members = shared(distinct.select(F.col(fp).alias("key"), F.explode(_variants(fp, distance)).alias("k")).select(F.xxhash64("k.bit", "k.rest").alias("variant"), "key"))
+    crowded = cut_lineage(members.groupBy("variant").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL).select("variant"))
+    crowd = bounded_broadcast(crowded)
+    order = Window.partitionBy("variant").orderBy("key")  # SMALL rows at most
+    few = members.join(crowd, "variant", "left_anti").select(F.col("key").alias("b"), *[F.lag("key", i).over(order).alias(f"p{i}") for i in range(1, SMALL)])
+    pairs = few.select("b", F.explode(F.array(*[f"p{i}" for i in range(1, SMALL)])).alias("a")).where(F.col("a").isNotNull() & (_apart(F.col("a"), F.col("b")) <= distance)).select("a", "b")
+    tied = _ties(members.join(crowd, "variant", "left_semi").select(F.col("key").alias(fp)).distinct(), distance, fp)
+    return cut_lineage(pairs.unionByName(tied).distinct())
 
 
 def _ties(members: DataFrame, distance: int, fp: str) -> DataFrame:
@@ -128,30 +153,36 @@ def _ties(members: DataFrame, distance: int, fp: str) -> DataFrame:
     return tied.where(_apart(F.col("a"), F.col(fp)) <= distance).select("a", F.col(fp).alias("b")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: Edges that one task handles.
+EDGES = 1 << 16
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for all nodes of ``edges`` (a, b).
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until no
     edge changes. Each step is two aggregations; only a checksum of the edges
-    reaches the driver.
+    reaches the driver. Few edges are handled by few tasks, whatever the number
+    of shuffle partitions, as there are many steps.
     """
     edges = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    parts = max(1, math.ceil(edges.count() / EDGES))
+    edges = edges.coalesce(parts)
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).coalesce(parts).distinct().coalesce(parts)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        star = large.join(low, "u")
-        small = star.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(star.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        edges = cut_lineage(small)
+        star = large.join(low, "u").coalesce(parts)
+        small = star.select(F.col("u").alias("u"), F.col("m").alias("v")).unionByName(star.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u != v").distinct()
+        edges = cut_lineage(small.coalesce(parts))
         after = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == before:
             nodes = edges.groupBy("u").agg(F.min("v").alias("root"))
             roots = nodes.select("root").distinct()
-            return nodes.select(F.col("u").alias("node"), "root").unionByName(roots.select(F.col("root").alias("node"), "root"))
+            return cut_lineage(nodes.select(F.col("u").alias("node"), "root").unionByName(roots.select(F.col("root").alias("node"), "root")).coalesce(parts))
         before = after
-    raise RuntimeError("components did not settle")
 
 
 def _classes(df: DataFrame, text: str, doc_id: str, distance: int, words_in: int, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -176,14 +207,25 @@ def keep_one(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id", dista
     Ids that are null come last. Rows that share id and text count as one.
     """
     marked, named = _classes(df, text, doc_id, distance, 3, 42)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("first")
-    best = marked.groupBy("fp").agg(first).join(named, "fp").groupBy("root").agg(F.min("first").alias("first"))
-    return only(df, best, text, doc_id)
+    return keep_first(df, marked.join(named, "fp").select("doc_id", "text_hash", "root"), text, doc_id)
+
 
+def keep_first(df: DataFrame, grouped: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """Rows of ``df`` less all but the first of each root in ``grouped`` (doc_id, text_hash, root).
 
-def only(df: DataFrame, best: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """One row of ``df`` for each id and text hash in the struct ``first`` of ``best``."""
-    best = best.select(F.col("first.doc_id").alias("best_id"), F.col("first.text_hash").alias("best_hash"))
-    hashed = packed(df).select("row", field(doc_id).alias("id"), F.xxhash64(field(text)).alias("text_hash"))
-    kept = hashed.join(best, F.col("id").eqNullSafe(F.col("best_id")) & (F.col("text_hash") == F.col("best_hash")), "left_semi")
-    return kept.dropDuplicates(["id", "text_hash"]).select(*unpacked(df.columns))
+    What leaves is found by keys; texts are shuffled only where more rows
+    leave than may be broadcast, or where a row that stays is repeated.
+    """
+    grouped = cut_lineage(grouped)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    groups = grouped.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "first")
+    rows = grouped.join(groups, "root").groupBy("doc_id", "text_hash").agg(F.bool_or(place == F.col("first")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    touched = cut_lineage(rows.where("not stays or n > 1"))
+    hashed = packed(df).select("row", field(doc_id).alias("id"), F.xxhash64(field(text)).alias("hash"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))
+    kept = hashed.join(bounded_broadcast(touched.select("doc_id", "text_hash")), same, "left_anti")
+    repeated = touched.where("stays")
+    if not repeated.isEmpty():
+        once = hashed.join(bounded_broadcast(repeated.select("doc_id", "text_hash")), same, "left_semi").dropDuplicates(["id", "hash"])
+        kept = kept.unionByName(once)
+    return kept.select(*unpacked(df.columns))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import struct
 from collections import Counter, defaultdict
@@ -62,6 +63,28 @@ def groups(ids, prints, distance=2):
     return [min(least[find(i)], default=None) for i in range(len(ids))], [find(i) for i in range(len(ids))]
 
 
+def near_groups(rows):
+    """Smallest id of each group of near copies of (doc_id, text): five-word shingles, similarity 0.8; all pairs are compared."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            parent[find(i)] = find(j)
+    groups = defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        groups[find(i)].append(d)
+    return sorted(min(g) for g in groups.values())
+
+
 def base_facts(text):
     text = text or ""
     words = WORD.findall(text)

@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from strataquery.llm import near_copies, simhash
-from tests.llm import brute, test_pipeline
+from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, key string, n string, first string, row string"
 
@@ -15,28 +15,6 @@ def table(spark, pairs):
     return spark.createDataFrame([(i, t, "x", "y", "z", "r") for i, t in pairs], SCHEMA)
 
 
-def plain(rows):
-    """Smallest id of each group of near copies; all pairs are compared."""
-    sets = []
-    for _, t in rows:
-        w = (t or "").encode().lower().split()
-        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
-    parent = list(range(len(rows)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i, j in itertools.combinations(range(len(rows)), 2):
-        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-            parent[find(i)] = find(j)
-    groups = defaultdict(list)
-    for i, (d, _) in enumerate(rows):
-        groups[find(i)].append(d)
-    return sorted(min(g) for g in groups.values())
-
-
 def copies(rng, base, n):
     """Copies of ``base`` with one word replaced in each, so a similarity of more than 0.8."""
     for _ in range(n):
@@ -65,27 +43,67 @@ def test_less_similar_texts_stay(spark):
 
 def test_all_pairs_of_the_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    want = plain(sorted((r["doc_id"], r["text"]) for r in docs.collect()))
+    want = brute.near_groups(sorted((r["doc_id"], r["text"]) for r in docs.collect()))
     assert sorted(r["doc_id"] for r in near_copies.keep_one(docs).collect()) == want
 
 
-def test_run_equals_the_plain_stages_with_near_copies(spark, sf, monkeypatch):
-    """The plain stages of test_pipeline, with groups by five-word shingles in place of fingerprints."""
-
-    def groups(ids, texts):
-        kept = plain(list(zip(ids, texts)))
-        return [i if i in kept else None for i in ids], None
-
-    monkeypatch.setattr(brute, "fingerprint", lambda text: text)
-    monkeypatch.setattr(brute, "groups", groups)
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    marks = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    want = test_pipeline.plain([(r["doc_id"], r["text"], r["source"]) for r in docs.collect()], marks)
-    assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == want
-
-
 def test_odd_rows(spark):
     text = "one two three four five six"
     df = table(spark, [(5, text), (3, text.upper()), (None, text), (3, text.upper()), (9, None), (8, ""), (7, " \t"), (None, None), (1, "lone text"), (None, "a b"), (None, "a b")])
     assert sorted((r["doc_id"] for r in near_copies.keep_one(df).collect()), key=str) == [1, 3, 7, None]
     assert near_copies.keep_one(df.limit(0)).count() == 0
+
+
+def linked_groups(rows):
+    """Smallest id of each group, if texts link that share a variant and are similar; all pairs are compared."""
+    words = [(t or "").encode().lower().split() for _, t in rows]
+    sets = [set(near_copies.shingles(w).tolist()) for w in words]
+    keys = [{(s, b, v & ~(1 << b)) for s, v in enumerate(near_copies.word_print(w)) for b in range(32)} for w in words]
+    roots = list(range(len(rows)))
+
+    def find(x):
+        while roots[x] != x:
+            x = roots[x]
+        return x
+
+    pairs = 0
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and keys[i] & keys[j]:
+            roots[find(i)] = find(j)
+            pairs += 1
+    groups = defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        groups[find(i)].append(d)
+    return sorted(min(g) for g in groups.values()), pairs
+
+
+@pytest.mark.parametrize("seed,most", [(1, 12), (2, 25), (3, 40)])
+def test_no_link_is_lost_in_crowds(spark, seed, most):
+    """Copies of one text with few to many words replaced: many meet under a variant, not all are similar, and chains join some."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(150)]
+    texts = [base]
+    while len(texts) < 120:
+        own = list(rng.choice(texts))
+        for _ in range(rng.randrange(1, most)):
+            own[rng.randrange(len(own))] = f"new{rng.randrange(10**9)}"
+        texts.append(own)
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want, pairs = linked_groups(rows)
+    assert pairs > 3
+    assert sorted(r["doc_id"] for r in near_copies.keep_one(table(spark, rows)).collect()) == want
+
+
+def test_shared_rows_of_a_range_in_small_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    variant = np.sort(np.array([rng.randrange(60) for _ in range(80)]))
+    for size in (1, 2, 7, 100):
+        batches = [pa.RecordBatch.from_arrays([pa.array(variant[i : i + size]), pa.array(np.arange(80)[i : i + size])], names=["variant", "key"]) for i in range(0, 80, size)]
+        got = [k for b in simhash._runs(iter(batches)) for k in b.column(1).to_pylist()]
+        counts = np.bincount(variant)
+        assert got == [k for k, v in enumerate(variant) if counts[v] > 1 or v in (variant[0], variant[-1])]
+    assert list(simhash._runs(iter([]))) == []

@@ -10,8 +10,8 @@ from tests.llm import brute
 
 def plain(rows, marks):
     """The stages over (doc_id, text, source) rows, one after the other."""
-    kept = [v[2] for v in brute.verdicts([(t, s) for _, t, s in rows])]
-    rows = [r for r, k in zip(rows, kept) if k]
+    facts, rest = brute.judged([(t, s) for _, t, s in rows])
+    rows = [(d, t, s) for (d, _, s), (_, _, kept), t in zip(rows, facts, rest) if kept]
     sums = {}
     for d, t, _ in rows:
         if d in marks and zlib.crc32(str(d).encode()) % 3 != 1:
@@ -20,8 +20,8 @@ def plain(rows, marks):
             sums[marks[d]] = (n + 1, a + x, b + np.outer(x, x))
     model = qda_quality.learned(sums)
     rows = [r for r in rows if model.scores(np.array([qda_quality.statistics(r[1])]))[0] >= 0.5]
-    least, _ = brute.groups([r[0] for r in rows], [brute.fingerprint(r[1]) for r in rows])
-    rows = [r for r, c in zip(rows, least) if r[0] == c]
+    first = set(brute.near_groups([(d, t) for d, t, _ in rows]))
+    rows = [r for r in rows if r[0] in first]
     size, _, taken = brute.mix([(d, s, t) for d, t, s in rows])
     return sorted((d, *brute.token_row(t)) for (d, t, _), n, k in zip(rows, size, taken) for _ in range(k // n if n else 0))
 
