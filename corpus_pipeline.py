@@ -6,30 +6,27 @@ an earlier one. All stages but the last return the columns of documents.
 
 Null ids, texts, languages and sources pass through the stages as the
 operators define; an empty table stays empty; columns that documents has
-besides the usual ones are carried along.
+besides the usual ones are carried along, whatever their names. Repeated rows
+count each for itself until near_dedup keeps one of them; ties there fall to
+the smallest id. Very long texts are processed whole.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataquery.llm import bpe, line_quality, mixing, near_copies, qda_quality
-
-#: A line is common if more than this many texts and more than this share of its source's texts have it.
-COMMON_DOCUMENTS = 10
-COMMON_SHARE = 0.02
+from strataquery.shared import shared_folder
+from strataquery.sources.hadoop import Folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and aren't depleted of lines of their own (operator 4).
-
-    The limits are lower than those of the query, whose SQL fixes them: at 20% no line of the given tables is common.
-    """
-    return line_quality.clean(docs, least=COMMON_DOCUMENTS, share=COMMON_SHARE)
+    """Documents that pass the base rules and aren't depleted, without the lines that many documents of their source share (operator 4)."""
+    kept = line_quality.clean(docs)
+    return kept.withColumn("n_chars", F.length("text").cast(kept.schema["n_chars"].dataType)) if "n_chars" in kept.columns else kept
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +36,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies by five-word shingles, the one with the smallest id (operator 6)."""
+    """One document of each group of near copies, the one with the smallest id (operator 6, verified on five-word shingles)."""
     return near_copies.keep_one(docs)
 
 
@@ -73,10 +70,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    shared, before = Folder(spark, f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        stage(spark, docs, sf_dir).write.parquet(shared.at(name))
+        docs = spark.read.parquet(shared.at(name))
+        if before:  # nothing reads it any more
+            shared.delete(before)
+        before = name
     return docs
