@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataquery.shared import unbroadcast
 from strataquery.shipping import ship
 
 # The language of each suffix.
@@ -204,5 +205,5 @@ def package_roots(files: DataFrame) -> DataFrame:
     parts = F.split(folder_of(F.col("path")), "/")
     ups = files.where(F.endswith("path", F.lit(".py"))).withColumn("parts", parts).select("path", "parts", F.explode(F.sequence(F.size("parts"), F.lit(1))).alias("depth"))
     ups = ups.withColumn("up", F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "/"))
-    broken = ups.join(marked.withColumnRenamed("package", "up"), "up", "left_anti").groupBy("path").agg(F.max("depth").alias("stop"))
-    return ups.select("path", "parts").distinct().join(broken, "path", "left").select("path", F.array_join(F.slice("parts", F.lit(1), F.coalesce("stop", F.lit(0))), "/").alias("root"))
+    broken = ups.join(unbroadcast(marked.withColumnRenamed("package", "up")), "up", "left_anti").groupBy("path").agg(F.max("depth").alias("stop"))
+    return ups.select("path", "parts").distinct().join(unbroadcast(broken), "path", "left").select("path", F.array_join(F.slice("parts", F.lit(1), F.coalesce("stop", F.lit(0))), "/").alias("root"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from strataquery.functions.paths import folder_of, package_roots, python_module_paths, script_module_paths
 from strataquery.functions.text import last_segment, owner
 from strataquery.operators.graphs import closure, nearest_scope, reach
+from strataquery.shared import cut_lineage, unbroadcast
 
 SCHEMA = (
     "reference_id string, record_kind string, file_id string, project_id string, path string, language string, kind string, source_qualified_symbol string, written_name string, target_name string, "
@@ -96,10 +97,10 @@ def ladder(*, wildcard: Column, receiver: Column, self_receiver: Column, same_ow
 def module_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
     """reference_id and each known path that the import's module may be: candidates are generated and matched by equality."""
     roots = package_roots(files).withColumnRenamed("path", "_path")
-    placed = imports.where("module_path is not null").join(roots, F.col("path") == F.col("_path"), "left").drop("_path")
+    placed = imports.where("module_path is not null").join(unbroadcast(roots), F.col("path") == F.col("_path"), "left").drop("_path")
     folder = folder_of(F.col("path"))
     names = F.when(F.col("language") == "python", python_module_paths(F.col("module_path"), folder, F.coalesce("root", F.lit("")))).otherwise(script_module_paths(F.col("module_path"), folder))
-    return placed.select("reference_id", F.explode(names).alias("target_path")).join(files.select(F.col("path").alias("target_path")), "target_path", "left_semi").distinct()
+    return placed.select("reference_id", F.explode(names).alias("target_path")).join(unbroadcast(files.select(F.col("path").alias("target_path"))), "target_path", "left_semi").distinct()
 
 
 def reexport_chains(imports: DataFrame, exports: DataFrame, targets: DataFrame, selected: Selected, hops: int = HOPS) -> DataFrame:
@@ -203,17 +204,17 @@ def inheritance_edges(rows: DataFrame, files: DataFrame, classes: DataFrame) ->
     bases = bases.select("path", F.struct("path", F.col("source_qualified_symbol").alias("class")).alias("dst"), owner(F.col("target_name")).alias("receiver"), last_segment(F.col("target_name")).alias("name"))
     imports = rows.where((F.col("record_kind") == "reference") & (F.col("kind") == "import") & F.col("module_path").isNotNull())
     space = is_namespace_import(F.col("imported_name"), F.col("alias")) | ((F.col("language") == "python") & F.col("imported_name").isNull())
-    bound = imports.join(module_targets(imports, files), "reference_id").select("path", binding().alias("local"), F.coalesce(space, F.lit(False)).alias("space"), "imported_name", "target_path")
+    bound = imports.join(unbroadcast(module_targets(imports, files)), "reference_id").select("path", binding().alias("local"), F.coalesce(space, F.lit(False)).alias("space"), "imported_name", "target_path")
 
     bare = bases.where("receiver = ''")
     own = bare.select(F.col("path").alias("from"), "name", "dst")
-    named = bare.join(bound.where("not space and imported_name is not null").withColumnRenamed("local", "name"), ["path", "name"])
-    spaced = bases.where("receiver != ''").join(bound.where("space").withColumnRenamed("local", "receiver"), ["path", "receiver"]).select(F.col("target_path").alias("from"), "name", "dst")
+    named = bare.join(unbroadcast(bound.where("not space and imported_name is not null").withColumnRenamed("local", "name")), ["path", "name"])
+    spaced = bases.where("receiver != ''").join(unbroadcast(bound.where("space").withColumnRenamed("local", "receiver")), ["path", "receiver"]).select(F.col("target_path").alias("from"), "name", "dst")
     by_name = own.unionByName(named.where("imported_name != 'default'").select(F.col("target_path").alias("from"), F.col("imported_name").alias("name"), "dst")).unionByName(spaced)
     anyone = named.where("imported_name = 'default'").select(F.col("target_path").alias("from"), "dst")
 
     known = classes.select(F.col("path").alias("from"), last_segment(F.col("class")).alias("name"), F.struct("path", "class").alias("src"))
-    return known.join(by_name, ["from", "name"]).select("src", "dst").unionByName(known.join(anyone, "from").select("src", "dst")).where("src != dst").distinct()
+    return known.join(unbroadcast(by_name), ["from", "name"]).select("src", "dst").unionByName(known.join(unbroadcast(anyone), "from").select("src", "dst")).where("src != dst").distinct()
 
 
 def overrides(rows: DataFrame, files: DataFrame, selected: Selected) -> DataFrame:
@@ -223,9 +224,10 @@ def overrides(rows: DataFrame, files: DataFrame, selected: Selected) -> DataFram
     top = declared.where((F.col("path") == selected.path) & (F.col("target_name") == selected.owner) & (F.col("kind") == "class"))
     derived = rows.where((F.col("record_kind") == "reference") & (F.col("kind") == "inheritance") & (F.col("source_qualified_symbol") != ""))
     classes = top.select("path", F.col("target_name").alias("class")).unionByName(derived.select("path", F.col("source_qualified_symbol").alias("class"))).distinct()
-    start = top.select(F.struct("path", F.col("target_name").alias("class")).alias("start"))
-    below = closure(start, inheritance_edges(rows, files, classes)).where("node != start").select("node.path", F.concat("node.class", F.lit("." + selected.symbol)).alias("target_name"))
-    return declared.join(below.distinct(), ["path", "target_name"], "left_semi")
+    # each hop reads both
+    start, edges = cut_lineage(top.select(F.struct("path", F.col("target_name").alias("class")).alias("start"))), cut_lineage(inheritance_edges(rows, files, classes))
+    below = closure(start, edges).where("node != start").select("node.path", F.concat("node.class", F.lit("." + selected.symbol)).alias("target_name"))
+    return declared.join(unbroadcast(below.distinct()), ["path", "target_name"], "left_semi")
 
 
 def signature_issue(call: Column, old: Column, new: Column, *, overloads: Column, bound: Column) -> Column:

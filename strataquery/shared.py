@@ -25,3 +25,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def unbroadcast(df: DataFrame) -> DataFrame:
+    """``df`` for a join that sorts and merges. Spark guesses sizes from compressed files and without what ``explode`` adds, and would send tables to the driver that it can't hold."""
+    return df.hint("merge")

@@ -112,6 +112,16 @@ def test_overrides_of_scripts(spark):
     assert overriding(spark, sources, "src/a.ts") == [("m.ts", "C.run")]
 
 
+def test_overrides_send_no_table_that_grows_to_the_driver(spark):
+    sources = {"a.py": BASE, "b.py": "from a import Base\nclass C(Base):\n" + SUB, "n.py": "import a as space\nclass N(space.Base):\n" + SUB}
+    rows, files = index(spark, sources)
+    classes = rows.where("kind = 'class'").select("path", F.col("target_name").alias("class"))
+    for out, count in ((references.inheritance_edges(rows, files, classes), 2), (references.overrides(rows, files, selected(rows, "a.py", "Base.run")), 2)):
+        for _ in range(2):  # as planned, and as run
+            assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+            assert len(out.collect()) == count
+
+
 def test_near_misses(spark):
     rows, _ = index(spark, {"a.py": "class A:\n    def run(self): pass\n"})
     assert references.declaration_matches(rows.where("record_kind = 'declaration'"), "x.py", "B.run") == ([], ["A.run"])
