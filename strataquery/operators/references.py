@@ -110,7 +110,7 @@ def reexport_chains(imports: DataFrame, exports: DataFrame, targets: DataFrame,
     the same name there (or of ``*``); the name may change by alias.
     """
     resolved = targets.withColumnRenamed("target_path", "to_path")
-    rows = exports.join(resolved, "reference_id").select(
+    rows = exports.join(unbroadcast(resolved), "reference_id").select(
         F.struct(F.col("path").alias("path"), binding().alias("name")).alias("out"),
         F.struct(F.col("to_path").alias("path"), F.coalesce("imported_name", "written_name").alias("name")).alias("into"),
     )
@@ -119,7 +119,7 @@ def reexport_chains(imports: DataFrame, exports: DataFrame, targets: DataFrame,
         F.struct(F.col("out.path").alias("path"), F.lit(selected.symbol).alias("name")).alias("out"), F.struct(F.col("into.path").alias("path"), F.lit(selected.symbol).alias("name")).alias("into")
     )
     edges = named.unionByName(stars).select(F.col("out").alias("src"), F.col("into").alias("dst")).distinct()
-    starts = imports.join(resolved, "reference_id").select(F.col("reference_id").alias("start"), F.struct(F.col("to_path").alias("path"), F.coalesce("imported_name", "written_name").alias("name")).alias("node"))
+    starts = imports.join(unbroadcast(resolved), "reference_id").select(F.col("reference_id").alias("start"), F.struct(F.col("to_path").alias("path"), F.coalesce("imported_name", "written_name").alias("name")).alias("node"))
     found = reach(starts, edges, hops)
     return found.where((F.col("node.path") == selected.path) & F.col("node.name").isin(selected.symbol, "default")).select(F.col("start").alias("reference_id")).distinct()
 

@@ -122,6 +122,16 @@ def test_overrides_send_no_table_that_grows_to_the_driver(spark):
             assert len(out.collect()) == count
 
 
+def test_reexports_send_no_table_that_grows_to_the_driver(spark, monkeypatch):
+    rows, files = index(spark, {"a.py": "def load(): pass\n", "b.py": "from a import load\n", "c.py": "from b import load\n"})
+    imports, seen, reach = rows.where("kind = 'import'"), [], references.reach
+    monkeypatch.setattr(references, "reach", lambda starts, edges, hops: seen.extend((starts, edges)) or reach(starts, edges, hops))
+    found = references.reexport_chains(imports, imports, references.module_targets(imports, files), selected(rows, "a.py", "load"))
+    assert found.count() == 1 and len(seen) == 2
+    for out in seen:
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_near_misses(spark):
     rows, _ = index(spark, {"a.py": "class A:\n    def run(self): pass\n"})
     assert references.declaration_matches(rows.where("record_kind = 'declaration'"), "x.py", "B.run") == ([], ["A.run"])
