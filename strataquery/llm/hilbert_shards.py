@@ -14,9 +14,8 @@ rank is exact: rows are range-partitioned and written once, the driver gets
 one row count and size a partition.
 
 Kinds of dimension: ``log`` for numbers, in steps that grow with the value;
-``rank`` for names, by their place among the distinct ones (up to ``NAMES`` of
-them, by first characters beyond), so that a run's minimum and maximum are
-close and prune; ``hash`` for names whose order doesn't matter.
+``rank`` for names, by their exact place among the distinct ones, however many,
+so that a run's minimum and maximum are close and prune; ``hash`` for names whose order doesn't matter.
 
 Defined results: a null in a categorical dimension is a value of its own (by
 rank the first), in a numeric one it is the lowest cell; numbers below 0 count as 0. Rows equal in
@@ -34,11 +33,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataquery.llm.common import arrow_udf, cut_lineage, field, packed, unpacked
+from strataquery.shared import unbroadcast
 
 #: Rows that one task sorts.
 RANGE_ROWS = 1 << 20
-#: Most distinct names that are ranked; their table is broadcast.
-NAMES = 4096
+#: Most names that stand in the plan, each the first of its cell. For more cells the names are joined, with the same result.
+NAMES = 256
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -83,23 +83,38 @@ def cell(value: Column, kind: str, bits: int) -> Column:
     raise ValueError(f"unknown kind of dimension: {kind}")
 
 
-def _by_first_characters(name: Column, bits: int) -> Column:
-    """The place of a name's first three characters, ASCII or beyond, among all."""
-    at = F.lit(0.0)
-    for i in (1, 2, 3):
-        at = at + F.least(F.ascii(F.substring(name, i, 1)), F.lit(127)) / F.lit(128.0**i)
-    return F.when(name.isNull(), 0).otherwise(F.floor(at * (1 << bits)).cast("int"))
+def in_order(df: DataFrame, order: Sequence[Column], count: int) -> DataFrame:
+    """``df`` sorted across its partitions and written once, with ``_row``: the partition, and the row in it in the low 33 bits."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(count / RANGE_ROWS))
+    return cut_lineage(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _by_first_names(name: Column, firsts: Sequence[tuple[bytes | None, int]]) -> Column:
+    """The cell of the last of ``firsts`` that ``name`` reaches, by halving them."""
+    if len(firsts) == 1:
+        return F.lit(firsts[0][1])
+    half = len(firsts) // 2
+    return F.when(name < F.lit(firsts[half][0]), _by_first_names(name, firsts[:half])).otherwise(_by_first_names(name, firsts[half:]))
 
 
 def ranked_cells(placed: DataFrame, value: str, bits: int, into: str) -> DataFrame:
-    """``placed`` with the cell of the name in ``value`` by its rank; nulls come first."""
-    names = placed.select(F.col(value).cast("string").alias("_name")).distinct()
-    known = names.limit(NAMES + 1).count()
-    if known > NAMES:
-        return placed.withColumn(into, _by_first_characters(F.col(value).cast("string"), bits))
-    order = F.row_number().over(Window.orderBy(F.col("_name").asc_nulls_first())) - 1  # NAMES rows at most
-    cells = names.select("_name", F.floor(order * (1 << bits) / max(known, 1)).cast("int").alias(into))
-    return placed.join(F.broadcast(cells), F.col(value).cast("string").eqNullSafe(F.col("_name"))).drop("_name")
+    """``placed`` with the cell of the name in ``value`` by its exact rank among all distinct names. Nulls come first, and no name shares their cell."""
+    name = F.col(value).cast("string").cast("binary")  # the order of strings, and whole where a string isn't UTF-8
+    names = cut_lineage(placed.select(name.alias("_name")).distinct())
+    known = names.count()
+    names, part = in_order(names, [F.col("_name").asc_nulls_first()], known), F.shiftright("_row", 33).cast("int")
+    starts, before, nulls = [], 0, 0
+    for p, n, named in sorted(map(tuple, names.groupBy(part).agg(F.count(F.lit(1)), F.count("_name")).collect())):
+        starts.append((p, before))
+        before, nulls = before + n, nulls + n - named
+    rank = F.col("_before") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    cells = names.withColumn("_part", part).join(F.broadcast(placed.sparkSession.createDataFrame(starts, "_part int, _before long")), "_part")  # a row a partition
+    cells = cells.select("_name", rank.cast("decimal(18)").alias("_rank"))
+    cells = cells.select("_name", F.expr(f"if(_name is null, 0L, greatest(div(_rank * {1 << bits}BD, {max(known, 1)}BD), {nulls}L))").alias(into))
+    if min(known, 1 << bits) > NAMES:
+        return placed.join(unbroadcast(cells), name.eqNullSafe(F.col("_name"))).drop("_name")
+    firsts = sorted((bytes(r[1]), r[0]) for r in cells.where(F.col(into) > 0).groupBy(into).agg(F.min("_name")).collect())
+    return placed.withColumn(into, F.when(name.isNull(), 0).otherwise(_by_first_names(name, [(None, 0), *firsts])).cast("long"))
 
 
 def curve(dimensions: Sequence[Column], bits: int) -> Column:
@@ -131,11 +146,7 @@ def hilbert_shards(df: DataFrame, dimensions: Mapping[str, str], *, shards: int
         cells.append(F.col(f"cell{i}") if kind == "rank" else cell(F.col(f"value{i}"), kind, bits))
     placed = placed.select("row", *[f"tie{i}" for i in range(len(ties))], curve(cells, bits).alias("curve_index"))
     order = [F.col("curve_index"), *[F.col(f"tie{i}").asc_nulls_first() for i in range(len(ties))]]
-    spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / RANGE_ROWS))
-    placed = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    # the id counts rows inside a partition in its low 33 bits
-    placed = cut_lineage(placed.withColumn("_row", F.monotonically_increasing_id()))
+    spark, placed = df.sparkSession, in_order(placed, order, df.count())
     part, inside = F.shiftright("_row", 33).cast("int"), F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
     weight = field(size).cast("long") if size else F.lit(0).cast("long")
     found = {r["part"]: (r["n"], r["b"]) for r in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("b")).collect()}

@@ -117,6 +117,27 @@ def test_more_names_than_are_ranked(spark, monkeypatch):
     assert firsts[:15] == [""] * 15 and firsts.index("a") < firsts.index("m") < firsts.index("z")
 
 
+def test_thousands_of_names_are_ranked_like_few(spark):
+    rows = [(i, ["en", None, "de"][i % 3], f"source{i * 7 % 5000:05d}", i % 9, 1) for i in range(5200)]
+    got = h.hilbert_shards(table(spark, rows), {"lang": "rank", "source": "rank", "n_chars": "log"}, ties=["doc_id"]).collect()
+    want = brute_shards([(*r[:4], r[0]) for r in rows], ["lang", "source"])
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in got} == want
+
+
+@pytest.mark.parametrize("n,bits", [(0, 6), (1, 6), (3, 1), (40, 6), (64, 6), (65, 6), (300, 6), (300, 20)])
+@pytest.mark.parametrize("null", [True, False])
+def test_cells_of_names(spark, monkeypatch, n, bits, null):
+    """Cells follow the ranks, whether names stand in the plan or are joined; also of names that aren't UTF-8."""
+    names = sorted([b"", b"\xff", b"\xfe\xff", "é".encode(), b"a", b"a\x00"][:n] + [f"n{i}".encode() for i in range(n - 6)])
+    names = [None] * null + names
+    df = spark.createDataFrame([(v if v is None else bytearray(v),) for v in names * 2], "b binary").select("b", F.col("b").cast("string").alias("value0"))
+    want = {v: max(i * (1 << bits) // len(names), null and v is not None) for i, v in enumerate(names)}
+    for most in (256, 0):
+        monkeypatch.setattr(h, "NAMES", most)
+        got = h.ranked_cells(df, "value0", bits, "cell0").collect()
+        assert len(got) == len(names) * 2 and all(want[r["b"] if r["b"] is None else bytes(r["b"])] == r["cell0"] for r in got)
+
+
 def test_query(spark, sf):
     from strataquery.llm.queries import op2_hilbert_shards
 
